@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, fingerprints, langid, nearcopies, packing, pieces, substring, toxicity
+from . import chat, exact, fingerprints, langid, lines, nearcopies, packing, pieces, substring, toxicity
 from .common import id_crc, prepare, read
 
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -34,6 +34,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECES)))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text without repeated lines, and the numbers of the lines removed."""
+    prepare(spark)
+    return lines.line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
@@ -83,7 +89,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [op1_substring_dedup, op2_language_id, op3_sentencepiece, op5_packing, op6_toxicity, op7_exact_dedup, op8_fingerprints, op9_chat_format, op10_minhash_near_dedup]
+    names = [op1_substring_dedup, op2_language_id, op3_sentencepiece, op4_line_dedup, op5_packing, op6_toxicity, op7_exact_dedup, op8_fingerprints, op9_chat_format, op10_minhash_near_dedup]
     return {f.__name__: f for f in names}
 
 
