@@ -169,3 +169,38 @@ def _room(a: np.ndarray, n: int) -> np.ndarray:
     if n <= len(a):
         return a
     return np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+
+#: Bits of a bitmap that is sent to all tasks: 8 MB, whatever the data.
+MAP_BITS = 1 << 26
+
+
+def map_bit(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(MAP_BITS)) + 1  # Spark's bitmap functions number bits from 1
+
+
+class Bitmap:
+    """The set of bits of some values, built by Spark in at most 2048 parts of 4 KB: tells rows that cannot be wanted from
+    those that may be, before they are shuffled. With very many values it lets everything pass."""
+
+    def __init__(self, values: DataFrame, column: str) -> None:
+        bits = values.select(map_bit(column).alias("bit"))
+        parts = bits.groupBy(F.expr("bitmap_bucket_number(bit)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
+        self.held = values.sparkSession.sparkContext.broadcast({r["part"]: bytes(r["bits"]) for r in parts.collect()})
+
+    def may_hold(self, bits: pa.Array) -> np.ndarray:
+        """For each value of map_bit: whether a wanted value has this bit."""
+        bits = bits.to_numpy(zero_copy_only=False) - 1
+        keep = np.zeros(len(bits), bool)
+        part, place = bits // 32768 + 1, bits % 32768
+        for p in np.unique(part):
+            if (raw := self.held.value.get(int(p))) is not None:
+                some = part == p
+                keep[some] = (np.frombuffer(raw, np.uint8)[place[some] >> 3] >> (place[some] & 7) & 1).astype(bool)
+        return keep
+
+    def __getstate__(self):
+        return self.held
+
+    def __setstate__(self, held) -> None:
+        self.held = held
