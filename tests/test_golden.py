@@ -167,7 +167,7 @@ def test_logs(spark):
     logs = spark.createDataFrame(rows, "ts_ms long, trace_id string, level int, body string, service string, doc_id string")
     count = lambda tree: L.query(logs, 0, 100, tree).count()
     assert count({"kind": "BODY", "pattern": "failed"}) == 2 and count({"kind": "TRACE", "value": "a"}) == 5
-    assert count({"kind": "OR", "children": [{"kind": "LEVEL", "value": 20}, {"kind": "TRACE", "value": "a"}]}) == 7
+    assert count({"kind": "OR", "children": [{"kind": "LEVEL", "value": 20}, {"kind": "TRACE", "value": "a"}]}) == 6
     assert L.union_of_sources([logs, logs]).count() == 10
     with pytest.raises(ValueError):
         L.condition({"kind": "BODY", "pattern": "(?=x)"})
