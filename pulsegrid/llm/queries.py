@@ -93,5 +93,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in names}
 
 
+_EXACT = """WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+m AS (SELECT min(doc_id) AS low, max(doc_id) AS high FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size, bool_or(doc_id <= low + (high - low) // 2) AS in_history_index FROM d, m GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, in_history_index, sha256(t) AS text_sha256 FROM d JOIN g USING (t)"""
+
+_CHAT = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\\### Assistant: </turn> ok'))),
+t AS (SELECT *, row_number() OVER w - 1 AS pos, (length(text) + 3) // 4 + 4 AS tokens, sum((length(text) + 3) // 4 + 4) OVER (w ROWS UNBOUNDED PRECEDING) AS last FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+k AS (SELECT *, CASE WHEN (last - tokens) // {chat.SPAN} = (last - 1) // {chat.SPAN} THEN 2 * ((last - tokens) // {chat.SPAN}) ELSE 2 * ((last - 1) // {chat.SPAN}) - 1 END AS key, role = 'system' AND pos = 0 AS sys,
+16 + length(text) + length(regexp_replace(text, '[^<\\\\]', '', 'g')) + length(role) + length(regexp_replace(role, '[^<>\\\\]', '', 'g')) AS size FROM t),
+w AS (SELECT conv_id, key, min(pos) AS first_pos, max(last) AS upto, lead(key) OVER (PARTITION BY conv_id ORDER BY key) AS next_key FROM k GROUP BY conv_id, key),
+again AS (SELECT k.conv_id, sum(k.size) AS chars FROM k JOIN w ON w.conv_id = k.conv_id AND w.key = k.key WHERE NOT sys AND next_key IS NOT NULL AND upto - last + tokens <= {chat.HISTORY} GROUP BY 1),
+heads AS (SELECT k.conv_id, sum(k.size) AS chars FROM k JOIN w ON w.conv_id = k.conv_id AND w.first_pos > 0 WHERE sys GROUP BY 1),
+o AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS loss, sum(size) AS chars FROM k GROUP BY conv_id)
+SELECT o.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(o.chars + coalesce(again.chars, 0) + coalesce(heads.chars, 0) AS BIGINT) AS formatted_chars
+FROM o LEFT JOIN again USING (conv_id) LEFT JOIN heads USING (conv_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express a query; the tests hold the others against brute force, round trips or held-out labels."""
+    return {"op7_exact_dedup": _EXACT, "op9_chat_format": _CHAT}
