@@ -5,10 +5,11 @@ that arrives first. Arrivals come in rounds for all texts of a batch, and a shin
 latest register of its text. Two texts agree in a register with probability J_P, their probability Jaccard similarity.
 
 Texts with equal words are one class from the start. Classes that agree in all registers of a band share a bucket:
-1. In each bucket two heads are picked by hash; every member is compared with both.
-2. Classes linked so far are components. In buckets that still hold several, members of different components are compared,
-   but for pairs that the distances to a head rule out: 1 - J_P is a metric, so distances that differ by more than
-   1 - THRESHOLD put a pair beyond it.
+1. In each bucket every member is compared with a head picked by hash; the links make components.
+2. A bucket whose members are then in several components is cut into blocks, and pairs of blocks are compared: members of
+   different components, each pair in the first bucket, by key, that it shares. The sum of sqrt(p q) over shingles is never less than J_P, so
+   one matrix product rules out most pairs of two blocks; the rest is computed exactly, but for pairs that this pair of
+   blocks has linked already. Only links leave the tasks, never pairs.
 No pair in a bucket that could reach the threshold goes without a comparison, unless it is connected already.
 """
 
@@ -160,19 +161,24 @@ def _sign(some: list[tuple[int, list[str]]], made: dict[int, list]) -> None:
             made[k][1] = row
 
 
-def weighted_shingles(docs: DataFrame) -> DataFrame:
-    """(node, shingles, weights) from (node, text): 64-bit hashes, sorted, and 32-bit counts, as bytes."""
+def weighted_shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles, weights) of the wanted nodes from (node, text): sorted 64-bit hashes and 32-bit counts, as bytes.
+
+    A bitmap keeps most other texts from being looked at, and from the shuffle."""
+    wanted_bits = C.Bitmap(wanted, "node")
 
     def run(batches):
         for b in batches:
-            texts = C.str_texts(b.column(1))
+            some = b.filter(pa.array(wanted_bits.may_hold(b.column(2))))
+            texts = C.str_texts(some.column(1))
             for i, j in C.blocks(texts):
                 h, w, n = shingles([words_of(t) for t in texts[i:j]])
                 ends = np.cumsum(n)
                 cut = lambda a, s: [a[x - y : x].tobytes() for x, y in zip(ends, s, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(cut(h, n), pa.binary()), pa.array(cut(w.astype(np.int32), n), pa.binary())], ["node", "shingles", "weights"])
+                yield pa.RecordBatch.from_arrays([some.column(0).slice(i, j - i), pa.array(cut(h, n), pa.binary()), pa.array(cut(w.astype(np.int32), n), pa.binary())], ["node", "shingles", "weights"])
 
-    return docs.mapInArrow(run, "node long, shingles binary, weights binary")
+    likely = docs.withColumn("bit", C.map_bit("node")).mapInArrow(run, "node long, shingles binary, weights binary")
+    return likely.join(wanted, "node", "left_semi")
 
 
 def compare(pairs: DataFrame, table: DataFrame) -> DataFrame:
@@ -189,6 +195,93 @@ def compare(pairs: DataFrame, table: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(run, "a long, b long, sim double")
 
 
+class _Groups:
+    """Which of some numbered things are linked so far."""
+
+    def __init__(self, first: list) -> None:
+        numbers = {x: i for i, x in enumerate(dict.fromkeys(first))}
+        self.of, self.up = [numbers[x] for x in first], list(range(len(numbers)))
+
+    def find(self, i: int) -> int:
+        x = self.of[i]
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def link(self, i: int, j: int) -> None:
+        self.up[self.find(i)] = self.find(j)
+
+
+def bounds(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]], columns: int = 4096) -> np.ndarray:
+    """For each pair of texts the sum of sqrt(p q) over shared shingles: at least J_P."""
+    def flat(some):
+        h = np.concatenate([h for h, _ in some])
+        v = np.concatenate([np.sqrt(w / max(1, w.sum())) for _, w in some]).astype(np.float32)
+        return h, v, np.repeat(np.arange(len(some)), [len(h) for h, _ in some])
+
+    (ha, va, oa), (hb, vb, ob) = flat(left), flat(right)
+    shared = np.intersect1d(ha, hb)
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(shared):
+        return out
+    ia, ib = np.searchsorted(shared, ha), np.searchsorted(shared, hb)
+    ia[ia == len(shared)] = ib[ib == len(shared)] = 0
+    ka, kb = shared[ia] == ha, shared[ib] == hb
+    for c in range(0, len(shared), columns):
+        parts = []
+        for i, k, v, o, n in ((ia, ka, va, oa, len(left)), (ib, kb, vb, ob, len(right))):
+            here = k & (i >= c) & (i < c + columns)
+            m = np.zeros((n, min(columns, len(shared) - c)), np.float32)
+            m[o[here], i[here] - c] = v[here]
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def links(rows: list[dict], threshold: float) -> list[tuple[int, int]]:
+    """Links in one pair of blocks: side 0 against side 1, or side 2 within itself."""
+    texts = [(np.frombuffer(r["shingles"], np.uint64), np.frombuffer(r["weights"], np.int32)) for r in rows]
+    sides = np.array([r["side"] for r in rows])
+    left, right = (np.flatnonzero(sides == 2),) * 2 if (sides == 2).any() else (np.flatnonzero(sides == 0), np.flatnonzero(sides == 1))
+    if not len(left) or not len(right):
+        return []
+    may = bounds([texts[i] for i in left], [texts[i] for i in right]) >= threshold - 1e-3
+    groups, out, keys = _Groups([r["label"] for r in rows]), [], [set(r["bands"]) for r in rows]
+    for x, y in zip(*np.nonzero(may)):
+        i, j = int(left[x]), int(right[y])
+        if (left is right and i >= j) or groups.find(i) == groups.find(j):
+            continue
+        if min(keys[i] & keys[j]) != rows[i]["key"]:
+            continue
+        if similarity(*texts[i], *texts[j]) >= threshold:
+            groups.link(i, j)
+            out.append((rows[i]["node"], rows[j]["node"]))
+    return out
+
+
+#: Members of a bucket in a block, about, and rows that one call of the block comparison gets, about.
+BLOCK, PART = 256, 2000
+
+
+def links_across(members: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): links between members (key, node, label, n: size of the bucket, bands) of one bucket with different labels."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    seats = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("low"), F.greatest("block", j).alias("high"), F.when(F.col("block") == j, 2).when(F.col("block") < j, 0).otherwise(1).alias("side")))
+    rows = rows.withColumn("seat", F.explode(seats)).select("key", "node", "label", "bands", "seat.*")
+    count = members.agg(F.sum(blocks)).first()[0] or 0
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("key", "low", "high"), F.lit(max(1, -(-count // PART)))))
+
+    def run(group: pa.Table) -> pa.Table:
+        by: dict[tuple, list[dict]] = {}
+        for r in group.to_pylist():
+            by.setdefault((r["key"], r["low"], r["high"]), []).append(r)
+        found = [x for rows_ in by.values() for x in links(rows_, threshold)]
+        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+    return rows.join(table, "node").groupBy("part").applyInArrow(run, "u long, v long")
+
+
 def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, class_id, text_class.
 
@@ -200,34 +293,24 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thr
     signed = C.written(signatures(docs, text, doc_id))
     classes = signed.groupBy("words").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
     rows = classes.where("node is not null").select("node", F.explode("bands").alias("key"))
-    pick = lambda seed: F.min(F.struct(F.xxhash64("node", "key", F.lit(seed)).alias("h"), "node"))["node"]
-    heads = rows.groupBy("key").agg(pick(1).alias("head1"), pick(2).alias("head2"), F.count("*").alias("n")).where("n > 1").drop("n")
+    head = F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node"))["node"]
+    heads = rows.groupBy("key").agg(head.alias("head"), F.count("*").alias("n")).where("n > 1")
     members = C.written(rows.join(heads, "key"))
 
-    in_play = members.select("node").distinct()
-    texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(in_play, "node")
-    table = C.written(weighted_shingles(texts))
-    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    with_heads = members.select(*pair("node", "head1")).unionByName(members.select(*pair("node", "head2"))).where("a <> b").distinct()
-    sims = C.written(compare(with_heads, table))
-    edges = sims.where(F.col("sim") >= threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    table = C.written(weighted_shingles(texts, members.select("node").distinct()))
+    with_heads = members.where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+    edges = C.written(compare(with_heads, table).where(F.col("sim") >= threshold).select(F.col("a").alias("u"), F.col("b").alias("v")))
     labels = components(edges)
 
-    found = members.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", "head1", "head2", F.coalesce("label", "node").alias("label"))
+    found = members.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
     mixed = found.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    left = found.join(mixed, "key")
-    for k in (1, 2):
-        one = sims.select(F.col("a").alias(f"a{k}"), F.col("b").alias(f"b{k}"), F.col("sim").alias(f"sim{k}"))
-        left = left.join(one, (F.least("node", f"head{k}") == F.col(f"a{k}")) & (F.greatest("node", f"head{k}") == F.col(f"b{k}")), "left").drop(f"a{k}", f"b{k}")
-    # heads have met all members of their bucket
-    left = C.written(left.where("node <> head1 and node <> head2").select("key", "node", "label", "sim1", "sim2"))
-    x, y = left.alias("x"), left.alias("y")
-    reach = 1 - threshold + 1e-9
-    near = (F.abs(F.col("x.sim1") - F.col("y.sim1")) <= reach) & (F.abs(F.col("x.sim2") - F.col("y.sim2")) <= reach)
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & near)
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = C.written(compare(rest, table).where(F.col("sim") >= threshold))
-    final = components(edges.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    # two members have been compared already, one of them being the head
+    left = C.written(found.where("n > 2").join(mixed, "key"))
+    in_left = left.select("node").distinct()
+    keys = members.join(in_left, "node", "left_semi").groupBy("node").agg(F.collect_list("key").alias("bands"))
+    more = C.written(links_across(left.join(keys, "node"), table.join(in_left, "node", "left_semi"), threshold))
+    final = components(edges.unionByName(more))
 
     named = classes.select("words", "node").join(final.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     named = named.select("words", F.col("node").alias("text_class"), F.coalesce("label", "node").alias("class_id"))
