@@ -276,7 +276,7 @@ def test_language_edges(docs, none, rows):
 
 
 def test_toxicity_edges(docs, none, rows):
-    model = toxicity.learn(none.withColumn("toxic", F.lit(1)))
+    model = toxicity.learn(none, docs.select("doc_id", F.lit(1).alias("toxic")))
     out = toxicity.score(docs, model, [F.col(c) for c in docs.columns])
     assert out.columns == [*docs.columns, "score", "predicted"] and out.count() == len(rows) and out.where("score is null or score < 0 or score > 1").count() == 0
     assert toxicity.score(none, model, [F.col("doc_id")]).count() == 0
