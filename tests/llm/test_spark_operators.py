@@ -260,6 +260,31 @@ def test_lines_link_near_ones(spark):
     assert out <= 4  # ten buckets find most of them, and chains the rest
 
 
+def changed(rng, t, n):
+    """t with n characters changed, taken out or put in, at places of their own."""
+    out = list(t)
+    for k in rng.sample(range(len(t)), n):
+        out[k] = rng.choice([rng.choice("klmnopqrstuvwxyz"), "", out[k] + rng.choice("klmnopqrstuvwxyz")])
+    return "".join(out)
+
+
+def test_lines_against_all_pairs(spark):
+    """Every pair of lines of 20 to 400 characters is compared; 1 character to 10% of them changed."""
+    rng = random.Random(8)
+    some = []
+    for length in (20, 30, 45, 70, 100, 150, 250, 400):
+        for share in (0.0, 0.02, 0.05, 0.1):
+            for _ in range(6):
+                t = sentence(rng, length)[:length].strip().ljust(length, "j")
+                some += [t, changed(rng, t, max(1, int(share * length)))]
+    said = [lines.normalised(t) for t in some]
+    out = lines.line_dedup(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").repartition(3))
+    stay = {r["doc_id"] for r in out.where("size(removed_lines) = 0").collect()}
+    pairs = [(i, j) for j in range(len(said)) for i in range(j) if lines.edit_similarity(said[i], said[j]) >= lines.THRESHOLD]
+    want = {i for i, label in {**{i: i for i in range(len(said))}, **plain_components(pairs, {i for p in pairs for i in p})}.items() if i == label}
+    assert len(pairs) > 180 and want <= stay and len(stay - want) <= 2
+
+
 def test_language_query(spark, small):
     out = queries.op2_language_id(spark, small)
     truth = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "lang")
