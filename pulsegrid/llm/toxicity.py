@@ -23,6 +23,8 @@ from . import common as C
 #: Labelled rows that training sees: at most about so many toxic and clean ones.
 TOXIC_MOST, CLEAN_MOST = 1500, 3500
 BUCKETS, WIDTH, WORDS = 1 << 16, 8, 10
+#: Most characters of a word, and from one piece of a longer one to the next: STEP characters in a row are in one piece.
+PIECE, STEP = 40, 20
 EPOCHS, RATE = 14, 0.5
 THRESHOLD = 0.7
 
@@ -31,8 +33,15 @@ _PRIME = np.uint64(0x100000001B3)
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-case words; of very long ones, both ends."""
-    return [w if len(w) <= 40 else w[:20] + w[-20:] for w in _word.findall(text.lower())]
+    """Lower-case words; runs longer than PIECE are split at underscores, and what is still longer gives overlapping pieces."""
+    out = []
+    for w in _word.findall(text.lower()):
+        if len(w) <= PIECE:
+            out.append(w)
+            continue
+        for part in [x for x in w.split("_") if x] or [w]:
+            out += [part[i : i + PIECE] for i in range(0, max(1, len(part) - STEP), STEP)]
+    return out
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -307,6 +307,24 @@ def test_toxicity_edges(docs, none, rows):
     assert toxicity.score(none, model, [F.col("doc_id")]).count() == 0
 
 
+def test_toxicity_in_the_middle_of_a_long_run():
+    rng = random.Random(9)
+    clean = [sentence(rng, 40) for _ in range(120)]
+    bad = "xyzzyx vwuvwu zyxwvz wuvxyz"
+    texts = clean + [f"{t[:80]} {bad} {t[80:]}" for t in clean]
+    model = toxicity.fit(texts, np.array([False] * 120 + [True] * 120))
+    for joint in ("_", ""):
+        run = sentence(rng, 200).replace(" ", joint)
+        said = bad.replace(" ", joint)
+        toxic = run[:500] + joint + said * 8 + joint + run[500:]
+        without, within = model.score([run, toxic])
+        assert without < 0.5 < within
+    for n in (40, 41, 60, 61, 99, 1000):
+        w = sentence(rng, n).replace(" ", "")[:n]
+        pieces_ = toxicity.words_of(w)
+        assert max(map(len, pieces_)) <= 40 and all(any(w[i : i + 20] in x for x in pieces_) for i in range(n - 19))
+
+
 def test_toxicity_query(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic")
     out = queries.op6_toxicity(spark, "/root/testdata/sf0.01").join(labels, "doc_id").where("held_out")
