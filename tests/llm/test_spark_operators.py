@@ -285,6 +285,22 @@ def test_lines_against_all_pairs(spark):
     assert len(pairs) > 180 and want <= stay and len(stay - want) <= 2
 
 
+def test_lines_decide_whole_buckets(spark, monkeypatch):
+    """Lines that share a passage fill large buckets; near ones among them are found wherever they are in it."""
+    monkeypatch.setattr(lines, "BLOCK", 7, raising=False)
+    monkeypatch.setattr(lines, "PART", 20, raising=False)
+    rng = random.Random(10)
+    passage, some = sentence(rng, 20)[:40], []
+    for _ in range(40):
+        t = f"{passage} {sentence(rng, 30)[:60]}".strip()
+        some += [t, changed(rng, t, 3)]
+    said = [lines.normalised(t) for t in some]
+    pairs = [(i, j) for j in range(len(said)) for i in range(j) if lines.edit_similarity(said[i], said[j]) >= lines.THRESHOLD]
+    groups = plain_components(pairs, range(len(said)))
+    out = lines.line_dedup(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"))
+    assert {r["doc_id"] for r in out.where("size(removed_lines) = 0").collect()} == set(groups.values())
+
+
 def test_language_query(spark, small):
     out = queries.op2_language_id(spark, small)
     truth = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "lang")
