@@ -48,7 +48,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_exact_copies), ("near_dedup", drop_near_copies), ("substring_dedup", cut_repeats), ("packing", pack)]
 
-#: Learnt scores and content-defined chunks are beyond SQL; tests hold the stages against brute-force versions.
+#: Learnt scores and content-defined chunks are beyond SQL. Tests hold the operators of exact and near dedup against brute-force
+#: versions; for toxicity, substring cutting and the chain of stages they have spot checks only.
 ORACLE_SQL = None
 
 
