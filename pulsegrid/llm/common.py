@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +29,14 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where none is set, a local master gets one of its
+    own; a cluster is an error, as a machine's own folder would lose what other machines write."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pulsegrid-"))
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="pulsegrid-"))
     return context.getCheckpointDir()
 
 
@@ -47,6 +54,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]):
+    """What a Python worker keeps from task to task, made once: one operator's things at a time. Workers outlive a query, so
+    when another operator starts, those of the one before are dropped and their memory is given back."""
+    if name not in _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+        _held[name] = make()
+    return _held[name]
+
+
 def id_crc(doc_id: str | Column = "doc_id") -> Column:
     """crc32 of an id written as text; a null id counts as an empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -122,7 +146,7 @@ class DistinctTable:
     `most_chars` characters it starts anew before the next block of texts.
     """
 
-    def __init__(self, find, most: int = 600_000, most_chars: int = 12_000_000) -> None:
+    def __init__(self, find, most: int = 300_000, most_chars: int = 6_000_000) -> None:
         self.find, self.most, self.most_chars = find, most, most_chars
         self.reset()
 

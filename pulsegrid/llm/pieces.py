@@ -20,7 +20,6 @@ MARK = "▁"
 END = 2
 
 _chunk = re.compile(f"{MARK}+[^{MARK}]*")
-_tables: dict[str, "ChunkTable"] = {}
 
 
 class ChunkTable:
@@ -62,9 +61,7 @@ class ChunkTable:
 
 
 def table(model: str) -> ChunkTable:
-    if model not in _tables:
-        _tables[model] = ChunkTable(model)
-    return _tables[model]
+    return C.held(f"pieces {model}", lambda: ChunkTable(model))
 
 
 def encode_decode(docs: DataFrame, model: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -108,7 +108,7 @@ class Model:
         return np.stack([np.add.reduceat(self.margins[at], np.cumsum(n) - n) if len(n) else np.zeros(0), n], axis=1)
 
     def best_margins(self, texts: list[str]) -> np.ndarray:
-        if len(self.codes) > 400_000:
+        if len(self.codes) > 200_000:
             self.reset()
         lists = [words_of(t) for t in texts]
         new = [w for w in set().union(*lists) if w not in self.codes]
@@ -240,9 +240,6 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     return model
 
 
-_here: dict[str, Model] = {}
-
-
 def score(docs: DataFrame, model: Model, also: list[Column], text: str = "text") -> DataFrame:
     """The columns of `also` with score (0 to 1) and predicted (1 from THRESHOLD on) for every row and whole text.
 
@@ -250,13 +247,11 @@ def score(docs: DataFrame, model: Model, also: list[Column], text: str = "text")
     shipped, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # bounded: BUCKETS numbers
 
     def run(batches):
-        if name not in _here:
-            _here.clear()
-            _here[name] = shipped.value
+        here = C.held(f"toxicity {name}", lambda: shipped.value)
         for b in batches:
             texts = C.str_texts(b.column(0))
             for i, j in C.blocks(texts):
-                s = _here[name].score(texts[i:j])
+                s = here.score(texts[i:j])
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in range(1, b.num_columns)), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], [*b.schema.names[1:], "score", "predicted"])
 
     rows = docs.select(F.col(text).cast("string").alias(C.hidden(docs, "scored_text")), *also)
