@@ -10,8 +10,10 @@ The driver handles only the histogram and the plan, both bounded by the window,
 
 from __future__ import annotations
 
+import functools
 import json
 import re
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 
@@ -26,8 +28,8 @@ WINDOW = 2048
 UNIT = 8
 DEPTH = 3
 END = 1
-#: Parts that each length is ranked in, so that a common length is not one task's work.
-SALTS = 64
+#: Pieces of one length that are ranked together, about, so that a common length is not one task's work.
+RANKED = 8192
 #: Pieces in a block of the greedy part, about.
 BLOCK = 4096
 
@@ -36,14 +38,14 @@ BLOCK = 4096
 #: Fixed values of the tokenizer file: its pattern, its specials, and what its normaliser would treat unlike str.split.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ODD = re.compile("[\x00\x1c-\x1f]|<\\|startoftext\\|>|<\\|endoftext\\|>")
-_encoders: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
     """Token ids as the tokenizer file gives them, word by word.
 
-    White space separates words and a word's ids depend on nothing else, so distinct words are tokenized once. Texts with
-    special tokens or control characters go to the tokenizers library whole."""
+    White space separates words and a word's ids depend on nothing else, so distinct words are tokenized once. Words with
+    characters that this Python's Unicode tables do not have, and texts with special tokens or control characters, go to the
+    tokenizers library, whose tables may know them."""
 
     def __init__(self, path: str) -> None:
         import regex
@@ -78,8 +80,13 @@ class WordEncoder:
         self.table = C.DistinctTable(self.tokenize)
 
     def tokenize(self, words: list[str]) -> list[list[int]]:
-        import unicodedata
-
+        unknown = _unassigned().search
+        odd = [i for i, w in enumerate(words) if not w.isascii() and unknown(w)]
+        if odd:
+            said = self.library.encode_batch([words[i] for i in odd], add_special_tokens=False)
+            at = dict(zip(odd, (e.ids for e in said)))
+            rest = iter(self.tokenize([w for i, w in enumerate(words) if i not in at]))
+            return [at[i] if i in at else next(rest) for i in range(len(words))]
         parts = [self.split(unicodedata.normalize("NFC", w).replace("Σ", "σ").lower()) for w in words]
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
         got = np.array(self.words.encode_ordinary("\0".join(p for ps in parts for p in ps) + "\0"), np.int64)
@@ -99,6 +106,14 @@ class WordEncoder:
         return out
 
 
+@functools.cache
+def _unassigned() -> re.Pattern:
+    """Matches a code point that has no character in this Python's Unicode tables."""
+    bare = np.array([unicodedata.category(chr(i)) == "Cn" for i in range(0x110000)])
+    edges = np.flatnonzero(np.diff(bare, prepend=False, append=False)).tolist()
+    return re.compile("[" + "".join(f"{re.escape(chr(i))}-{re.escape(chr(j - 1))}" for i, j in zip(edges[::2], edges[1::2])) + "]")
+
+
 def _byte_chars() -> dict[int, str]:
     """The printable character that byte-level vocabularies write for each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -107,9 +122,7 @@ def _byte_chars() -> dict[int, str]:
 
 
 def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return C.held(f"words {path}", lambda: WordEncoder(path))
 
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -228,27 +241,33 @@ def best_fit(lengths: list[int], window: int) -> tuple[list[int], list[int]]:
 # -- Spark -------------------------------------------------------------------------------------------------------------
 
 
-def _ranked(df: DataFrame, key: str) -> DataFrame:
-    """df with rank, from 0 within each value of key: ranks within salted parts, moved on by the parts before."""
-    parts = df.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"))
-    sizes = parts.groupBy(key, "salt").count()
-    before = F.coalesce(F.sum("count").over(Window.partitionBy(key).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    firsts = sizes.select(F.col(key).alias("of"), F.col("salt").alias("part"), before.alias("first"))
-    inner = F.row_number().over(Window.partitionBy(key, "salt").orderBy("doc_id", "start", "ids_crc32"))
-    ranked = parts.withColumn("inner", inner)
-    # the window bounds the table: SALTS rows for each of its lengths
-    return ranked.join(F.broadcast(firsts), (F.col(key) == F.col("of")) & (F.col("salt") == F.col("part"))).withColumn("rank", F.col("first") + F.col("inner") - 1).drop("of", "part", "first", "inner", "salt")
+def _ranked(df: DataFrame, histogram: dict[int, int]) -> DataFrame:
+    """df (units, row) with rank, from 0 within each value of units: ranks within parts, moved on by the parts before."""
+    parts = [-(-histogram.get(n, 0) // RANKED) or 1 for n in range(max(histogram, default=0) + 1)]
+    salted = df.withColumn("salt", F.pmod(F.xxhash64("row"), F.element_at(F.lit(parts), F.col("units") + 1)).cast("int"))
+    sizes = salted.groupBy("units", "salt").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("units").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = sizes.select(F.col("units").alias("of"), F.col("salt").alias("part"), before.alias("first"))
+    ranked = salted.withColumn("inner", F.row_number().over(Window.partitionBy("units", "salt").orderBy("row")))
+    # rows lie by (units, salt) already, so this join moves only the sizes
+    ranked = ranked.join(firsts, (F.col("units") == F.col("of")) & (F.col("salt") == F.col("part")))
+    return ranked.withColumn("rank", F.col("first") + F.col("inner") - 1).drop("of", "part", "first", "inner", "salt")
 
 
 def pack(piece_rows: DataFrame, window: int = WINDOW, unit: int = UNIT, depth: int = DEPTH) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens) with sequence_id and offset; each piece once, none cut further.
 
-    Lengths lie between 1 and the window. Offsets in a sequence run from 0 without gaps. No pieces give no rows.
+    Lengths lie between 1 and the window. Offsets in a sequence run from 0 without gaps. Pieces that fill a window to the unit
+    are sequences of their own and are not ranked. Sequence ids are unique, not dense. Repeated rows are told apart by their
+    row in the written table of pieces. No pieces give no rows.
     """
     spark = piece_rows.sparkSession
     units = window // unit
-    rows = C.written(piece_rows.withColumn("units", F.ceil(F.col("length") / unit).cast("int")))
+    rows = C.written(piece_rows.withColumn("units", F.ceil(F.col("length") / unit).cast("int")).withColumn("row", F.monotonically_increasing_id()))
     histogram = {r["units"]: r["count"] for r in rows.groupBy("units").count().collect()}  # as many rows as units at most
+    fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    whole = rows.where(F.col("units") == units).select(*fields, (F.col("row") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    histogram.pop(units, None)
     slots, base, used = [], 0, dict.fromkeys(histogram, 0)
     for way, times in plan(histogram, units, depth):
         for place, n in enumerate(way):
@@ -258,26 +277,25 @@ def pack(piece_rows: DataFrame, window: int = WINDOW, unit: int = UNIT, depth: i
     # at most a slot for each place of each combination in use, and no more combinations than lengths are in use
     places = spark.createDataFrame(slots, "of int, low long, high long, base long, place int")
     inside = (F.col("units") == F.col("of")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
-    placed = C.written(_ranked(rows, "units").join(F.broadcast(places), inside, "left"))
-    fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    planned = placed.where("place is not null").withColumn("sequence_id", F.col("base") + F.col("rank") - F.col("low"))
+    placed = C.written(_ranked(rows.where(F.col("units") < units), histogram).join(F.broadcast(places), inside, "left"))
+    planned = placed.where("place is not null").withColumn("sequence_id", (F.col("base") + F.col("rank") - F.col("low")) * 2)
     before = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
     planned = planned.select(*fields, "sequence_id", F.coalesce(before, F.lit(0)).alias("offset"))
 
-    rest = placed.where("place is null").select(*fields)
+    rest = placed.where("place is null").select(*fields, "row")
     count = sum(histogram.values()) - sum(used.values())
     n_blocks = max(1, -(-count // BLOCK))
 
     def greedy(table: pa.Table) -> pa.Table:
-        order = table.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        order = table.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending"), ("row", "ascending")])
         where, offsets = best_fit(order["length"].to_pylist(), window)
         return order.append_column("local", pa.array(where, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
-    blocks = rest.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(n_blocks)))
-    packed = C.written(blocks.groupBy("block").applyInArrow(greedy, f"{_PIECE}, block long, local long, offset long"))
+    blocks = rest.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n_blocks)))
+    packed = C.written(blocks.groupBy("block").applyInArrow(greedy, f"{_PIECE}, row long, block long, local long, offset long"))
     # a block's sequences follow those of all blocks before it: ids are (block, local) pairs written as one number
-    numbered = F.lit(base) + F.col("local") * F.lit(n_blocks) + F.col("block")
-    return planned.unionByName(packed.select(*fields, numbered.alias("sequence_id"), "offset"))
+    numbered = (F.lit(base) + F.col("local") * F.lit(n_blocks) + F.col("block")) * 2
+    return whole.unionByName(planned).unionByName(packed.select(*fields, numbered.alias("sequence_id"), "offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
