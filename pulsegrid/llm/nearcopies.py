@@ -6,8 +6,8 @@ latest register of its text. Two texts agree in a register with probability J_P,
 
 Texts with equal words are one class from the start. Classes that agree in all registers of a band share a bucket:
 1. In each bucket every member is compared with a head picked by hash; the links make components.
-2. A bucket whose members are then in several components is cut into blocks, and pairs of blocks are compared: members of
-   different components, each pair in the first bucket, by key, that it shares. The sum of sqrt(p q) over shingles is never less than J_P, so
+2. A bucket whose members are then in several components is cut into blocks; those outside its largest component go to all
+   of its blocks and are compared: members of different components, each pair in the first bucket, by key, that it shares. The sum of sqrt(p q) over shingles is never less than J_P, so
    one matrix product rules out most pairs of two blocks; the rest is computed exactly, but for pairs that this pair of
    blocks has linked already. Only links leave the tasks, never pairs.
 No pair in a bucket that could reach the threshold goes without a comparison, unless it is connected already.
@@ -40,7 +40,6 @@ class _Hashes(dict):
         return h
 
 
-_hashes = _Hashes()
 
 
 def words_of(text: str) -> list[str]:
@@ -51,10 +50,11 @@ def shingles(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     """Distinct shingle hashes of the texts in a row, their counts, and how many each text has.
 
     A text of fewer than five words is one shingle, a text without words has none."""
-    if len(_hashes) > 400_000:
-        _hashes.clear()
+    hashes = C.held("word hashes", _Hashes)
+    if len(hashes) > 200_000:
+        hashes.clear()
     counts = np.fromiter(map(len, lists), np.int64, len(lists))
-    words = np.fromiter((h for ws in lists for h in map(_hashes.__getitem__, ws)), np.uint64, int(counts.sum()))
+    words = np.fromiter((h for ws in lists for h in map(hashes.__getitem__, ws)), np.uint64, int(counts.sum()))
     n = np.where(counts >= SHINGLE, counts - SHINGLE + 1, (counts > 0).astype(np.int64))
     first = np.cumsum(counts) - counts
     starts = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -264,12 +264,24 @@ BLOCK, PART = 256, 2000
 
 
 def links_across(members: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
-    """(u, v): links between members (key, node, label, n: size of the bucket, bands) of one bucket with different labels."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    seats = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("low"), F.greatest("block", j).alias("high"), F.when(F.col("block") == j, 2).when(F.col("block") < j, 0).otherwise(1).alias("side")))
+    """(u, v): links between members (key, node, label, bands) of one bucket with different labels.
+
+    The members of a bucket's largest component need no comparison with each other: they lie in one block each, and only the
+    other members go to all of these blocks, and to pairs of blocks among themselves."""
+    sizes = members.groupBy("key", "label").agg(F.count("*").alias("of_label"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("of_label", "label")).alias("top"), F.sum("of_label").alias("n"))
+    rows = members.drop("n").join(largest.select("key", "n", F.col("top.of_label").alias("inside"), F.col("top.label").alias("top")), "key")
+    rows = rows.withColumn("outer", F.col("label") != F.col("top"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.when(F.col("outer"), F.col("n") - F.col("inside")).otherwise(F.col("inside")) / BLOCK)).cast("int")
+    rows = rows.withColumn("inner_blocks", F.ceil(F.col("inside") / BLOCK).cast("int")).withColumn("blocks", blocks)
+    rows = C.written(rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    seat = lambda low, high, side: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"), side.cast("int").alias("side"))
+    # blocks of the largest component have a high of -1
+    across = F.transform(F.sequence(F.lit(0), F.col("inner_blocks") - 1), lambda j: seat(j, F.lit(-1), F.lit(1)))
+    among = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: seat(F.least("block", j), F.greatest("block", j), F.when(F.col("block") == j, 2).when(F.col("block") < j, 0).otherwise(1)))
+    seats = F.when(F.col("outer"), F.concat(across, among)).otherwise(F.array(seat(F.col("block"), F.lit(-1), F.lit(0))))
+    count = rows.agg(F.sum(F.size(seats))).first()[0] or 0
     rows = rows.withColumn("seat", F.explode(seats)).select("key", "node", "label", "bands", "seat.*")
-    count = members.agg(F.sum(blocks)).first()[0] or 0
     rows = rows.withColumn("part", F.pmod(F.xxhash64("key", "low", "high"), F.lit(max(1, -(-count // PART)))))
 
     def run(group: pa.Table) -> pa.Table:
