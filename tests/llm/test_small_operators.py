@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from pulsegrid.llm import exact, fingerprints, langid, lines, nearcopies, packing, pieces, substring, toxicity
+from pulsegrid.llm import common, exact, fingerprints, langid, lines, nearcopies, packing, pieces, substring, toxicity
 
 
 def words(rng, n, vocabulary=400):
@@ -172,3 +172,106 @@ def test_digests():
     near, far, same = fingerprints.likeness([a, a, a], [b, c, a])
     assert same == 1 and 0 <= far < near < 1
     assert fingerprints.likeness([], []).tolist() == [] and len(fingerprints.digest(b"")) == len(fingerprints.digest(b"ab")) == 66
+
+
+def test_long_words_are_summed_whole():
+    """The scaled sums equal those over all segmentations, also where plain ones would vanish, and no word is cut."""
+    rng = random.Random(16)
+    pieces_ = ["▁", *"abcde", "▁ab", "abc", "dedede", "abcdeabcdeabcde", "ee"]
+    counts = {k: {"▁" + "".join(rng.choice(s) for _ in range(7)): 3 for _ in range(50)} for k, s in (("xx", "aabce"), ("yy", "bddee"))}
+    model = langid.fit(counts, pieces_, {"xx": 1, "yy": 1})
+    for n in (1, 7, 15, 40, 90, 1500):
+        w = "▁" + "".join(rng.choice("abcdeé") for _ in range(n))
+        for k in range(2):
+            p = dict(zip(model.vocabulary.hashes.tolist(), model.probabilities[:, k]))
+            log, scale = [1.0], 0.0
+            for j in range(1, len(w) + 1):
+                total = 0.0
+                for i in range(max(0, j - 16), j):
+                    q = p.get(int(langid.Vocabulary.keys([w[i:j]])[0]), langid.FLOOR if j - i == 1 else 0.0)
+                    total += log[i] * q
+                log.append(total)
+                if total < 1e-100:
+                    log, scale = [*[0.0] * (len(log) - 17), *(x * 1e100 for x in log[-17:])], scale - 100 * np.log(10)
+            assert model.word_scores([w])[0, k] == pytest.approx(np.log(log[-1]) + scale)
+        assert langid.words_of(w[1:]) == [w]
+
+
+def test_every_language_can_be_predicted():
+    names = [f"l{i}" for i in range(230)]
+    counts = {n: {f"▁{chr(0x4E00 + 3 * i)}{chr(0x4E01 + 3 * i)}": 5} for i, n in enumerate(names)}
+    model = langid.fit(counts, ["▁"], dict.fromkeys(names, 1))
+    assert len(model.languages) == 230
+
+
+def test_unassigned_code_points_get_the_library_ids():
+    """Every code point that this Python's Unicode tables lack, and every 37th other, inside a word."""
+    import sys
+    import unicodedata
+
+    import public_tokenizers
+
+    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    some = [c for c in map(chr, range(1, 0x20000)) if not 0xD800 <= ord(c) < 0xE000 and (ord(c) % 37 == 0 or unicodedata.category(c) == "Cn")]
+    some = [c for i, c in enumerate(some) if i % 4 == 0 or ord(c) < 0x3000 or "\U00010D40" <= c < "\U00010D90" or "\U000187F0" <= c < "\U00018D90"]
+    texts = [f"a{c}b x{c}" for c in some] + [f"a{chr(sys.maxunicode)}b"]
+    want = encoder.library.encode_batch(texts, add_special_tokens=False)
+    assert [g.tolist() for g in encoder.run(texts)] == [w.ids for w in want]
+
+
+def test_one_operators_things_are_kept_at_a_time():
+    common.held("a", dict)["x"] = 1
+    assert common.held("a", dict) == {"x": 1}
+    common.held("b", dict)
+    assert common.held("a", dict) == {}
+
+
+def test_many_pairs_at_once_equal_single_ones():
+    rng = random.Random(18)
+    said = ["", "x"]
+    for n in (1, 5, 30, 63, 64, 65, 130, 300):
+        for share in (0.02, 0.1, 0.19, 0.22, 0.4):
+            for _ in range(8):
+                t = "".join(rng.choice("abcdeéf ") for _ in range(n))
+                u = [rng.choice([rng.choice("abcdeé漢"), "", c + "z"]) if rng.random() < share else c for c in t]
+                said += [t, "".join(u)]
+    u, v = np.arange(0, len(said), 2), np.arange(1, len(said), 2)
+    want = [lines.edit_similarity(said[i], said[j]) >= lines.THRESHOLD - 1e-9 for i, j in zip(u, v)]
+    for few in (0, 96):
+        lines.FEW = few
+        assert lines.alike(said, u, v).tolist() == want
+    assert (lines.in_reach(said, u, v) >= np.array(want)).all()
+
+
+def recall(rng, said, shares):
+    """The share of edited pairs of lines that get to verification, among those that are alike."""
+    hit = n = 0
+    for t in said:
+        for share in shares:
+            u = list(t)
+            for k in rng.sample(range(len(t)), max(1, int(share * len(t)))):
+                u[k] = rng.choice([rng.choice("abcdefghijklmnopqrstuvwxyz"), "", u[k] + rng.choice("abcdefghij ")])
+            pair = [lines.normalised(t), lines.normalised("".join(u))]
+            if pair[0] == pair[1] or lines.edit_similarity(*pair) < lines.THRESHOLD:
+                continue
+            of, keys, places = lines.gram_keys(pair)
+            left, right = ({k: p for o, k, p in zip(of.tolist(), keys.tolist(), places.tolist()) if o == side} for side in (0, 1))
+            both = [k for k in left if k in right]
+            zeros, one = np.zeros(len(both), np.int64), np.ones(len(both), np.int64)
+            n += 1
+            hit += bool(both) and len(lines.likely_pairs(pair, zeros, one, np.array([left[k] for k in both]), np.array([right[k] for k in both]))) > 0
+    return hit / n
+
+
+def test_line_search_recall():
+    """Real lines cut to several lengths, 1 to 15 characters in 100 changed: the search meets at least nine in ten pairs."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(19)
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()
+    real = sorted({n for t in texts if t for n in lines.normalised_lines(t)}, key=len)
+    shares = [k / 100 for k in range(1, 16, 2)]
+    for least, most in ((20, 32), (32, 64), (64, 128), (128, 256), (256, 400)):
+        some = [t[: rng.randrange(least, most)].strip() for t in rng.sample([t for t in real if len(t) >= least], 30)]
+        assert recall(rng, [t for t in some if len(t) >= 8], shares) >= 0.9
+    assert recall(rng, [t[:300] for t in real if len(t) > 300][:40], [0.01, 0.05, 0.1]) >= 0.95
