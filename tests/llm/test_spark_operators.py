@@ -341,10 +341,14 @@ def test_toxicity_in_the_middle_of_a_long_run():
 
 
 def test_toxicity_query(spark):
+    """Held-out rows, some of whose labels are noise: toxic ones score higher, most are caught, few clean ones are."""
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
     out = queries.op6_toxicity(spark, "/root/testdata/sf0.1").join(labels, "doc_id").where("held_out")
-    hit = out.agg(F.avg(F.when(F.col("toxic") == 0, F.col("predicted").cast("double"))), F.count("*"), F.sum("toxic"), F.avg(F.when(F.col("toxic") == 1, F.col("predicted").cast("double")))).first()
-    assert hit[0] < 0.1 and hit[1] > 50 and (hit[2] == 0 or hit[3] > 0.8)
+    rows = [(r["toxic"], r["score"], r["predicted"]) for r in out.collect()]
+    bad, good = ([(s, p) for t, s, p in rows if t == k] for k in (1, 0))
+    order = np.argsort(np.argsort([s for s, _ in bad + good], kind="stable"))
+    above = (order[: len(bad)].mean() - (len(bad) - 1) / 2) / len(good)
+    assert len(bad) > 100 and above > 0.9 and np.mean([p for _, p in bad]) > 0.55 and np.mean([p for _, p in good]) < 0.05
 
 
 def plain_cut(found, keep=lambda i: True):
