@@ -12,16 +12,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _escaped(text: Column, *marks: str) -> Column:
+    """A backslash before backslashes and the marks, so that no two label sets are written alike."""
+    for mark in ("\\", *marks):
+        text = F.replace(text, F.lit(mark), F.lit("\\" + mark))
+    return text
+
+
 def label_text(labels: Column | str) -> Column:
-    """Labels as k=v,k=v in order of name; an empty map gives an empty text."""
+    """Labels as k=v,k=v in order of name; an empty map gives an empty text. Commas, backslashes, and = in names are escaped."""
     entries = F.array_sort(F.map_entries(labels))
-    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return F.array_join(F.transform(entries, lambda e: F.concat(_escaped(e["key"], "=", ","), F.lit("="), _escaped(e["value"], ","))), ",")
 
 
 def series_key(metric: Column | str, labels: Column | str) -> Column:
-    """name{k=v,k=v}: the canonical path of a series."""
+    """name{k=v,k=v}: the canonical path of a series. A brace in a name is escaped."""
     name = F.col(metric) if isinstance(metric, str) else metric
-    return F.concat(F.coalesce(name, F.lit("")), F.lit("{"), label_text(labels), F.lit("}"))
+    return F.concat(_escaped(F.coalesce(name, F.lit("")), "{"), F.lit("{"), label_text(labels), F.lit("}"))
 
 
 def tenant_path(tenant: str, path: Column) -> Column:
@@ -45,8 +52,8 @@ def label_join(labels: Column, target: str, separator: str, sources: list[str])
 def label_replace(labels: Column, target: str, replacement: str, source: str, pattern: str) -> Column:
     """Labels with target set from source where the pattern matches it whole."""
     value = F.coalesce(labels[source], F.lit(""))
-    new = F.map_concat(drop_labels(labels, [target]), F.create_map(F.lit(target), F.regexp_replace(value, f"^(?:{checked_regex(pattern)})$", replacement)))
-    return F.when(value.rlike(f"^(?:{pattern})$"), new).otherwise(labels)
+    new = F.map_concat(drop_labels(labels, [target]), F.create_map(F.lit(target), F.regexp_replace(value, f"^(?:{checked_regex(pattern)})\\z", replacement)))
+    return F.when(value.rlike(f"^(?:{pattern})\\z"), new).otherwise(labels)
 
 
 # -- matchers ----------------------------------------------------------------------------------------------------------
@@ -68,7 +75,7 @@ def matches(metric: Column, labels: Column, name: str, op: str, value: str) -> C
     elif op == "!=":
         ok = subject != value
     elif op in ("=~", "!~"):
-        ok = subject.rlike(f"^(?:{checked_regex(value)})$")
+        ok = subject.rlike(f"^(?:{checked_regex(value)})\\z")
         ok = ~ok if op == "!~" else ok
     else:
         raise ValueError(f"unknown matcher {op}")
@@ -98,14 +105,14 @@ def any_value_filter(metric: Column, tags: Column, value: str | None = None, pat
     if value and value.strip():
         return (metric == value) | F.exists(F.map_values(tags), lambda x: x == value)
     if pattern and pattern.strip():
-        full = f"^(?:{checked_regex(pattern)})$"
+        full = f"^(?:{checked_regex(pattern)})\\z"
         return metric.rlike(full) | F.exists(F.map_values(tags), lambda x: x.rlike(full))
     raise ValueError("value or pattern is needed")
 
 
 def glob(text: Column, pattern: str) -> Column:
     """* stands for any run of characters."""
-    return text.rlike("^" + ".*".join(re.escape(p) for p in pattern.split("*")) + "$")
+    return text.rlike("^" + ".*".join(re.escape(p) for p in pattern.split("*")) + r"\z")
 
 
 def _any_key(tags: Column, pattern: str) -> Column:

@@ -61,8 +61,9 @@ def raw_range(samples: DataFrame, grid: Grid, range_ms: int) -> DataFrame:
 
 
 def instant(samples: DataFrame, grid: Grid, lookback: int = LOOKBACK) -> DataFrame:
-    """At each step the last sample no older than the look-back; steps without one have no row."""
-    return _by_step(samples, grid, lookback).groupBy("series_key", "t").agg(F.first("metric").alias("metric"), F.first("labels").alias("labels"), F.max_by("value", "ts_ms").alias("value")).select("metric", "labels", "series_key", F.col("t").alias("ts_ms"), "value")
+    """At each step the last sample no older than the look-back, of samples at one time the larger; steps without one have no
+    row."""
+    return _by_step(samples, grid, lookback).groupBy("series_key", "t").agg(F.first("metric").alias("metric"), F.first("labels").alias("labels"), F.max_by("value", F.struct("ts_ms", "value")).alias("value")).select("metric", "labels", "series_key", F.col("t").alias("ts_ms"), "value")
 
 
 def _by_step(samples: DataFrame, grid: Grid, range_ms: int) -> DataFrame:
@@ -70,9 +71,25 @@ def _by_step(samples: DataFrame, grid: Grid, range_ms: int) -> DataFrame:
     return near.withColumn("t", F.explode(grid.reached(F.col("ts_ms"), F.col("ts_ms") + range_ms - 1)))
 
 
-def _two_last(column: str = "value") -> Column:
-    """The last two points of a group, latest first."""
-    return F.slice(F.sort_array(F.collect_list(F.struct("ts_ms", column)), asc=False), 1, 2)
+def _with_before(samples: DataFrame) -> DataFrame:
+    """Samples with before_ms and before, the sample before in their series (by time, then value). So two neighbours are one
+    row, and a window's last two samples are a maximum that is combined before the shuffle, not a list."""
+    w = Window.partitionBy("series_key").orderBy("ts_ms", "value")
+    return keyed(samples).withColumn("before_ms", F.lag("ts_ms").over(w)).withColumn("before", F.lag("value").over(w))
+
+
+def _last_with_before(range_ms: int) -> tuple[Column, Column]:
+    """The last sample of a group by step t, and whether the one before it is in the window, too."""
+    last = F.max(F.struct("ts_ms", "value", "before_ms", "before"))
+    return last, last["before_ms"] > F.max("t") - range_ms
+
+
+def of_kind(samples: DataFrame, kind: str) -> DataFrame:
+    """samples; if they have an event_type (with_kind), one of another kind fails the query."""
+    if "event_type" not in samples.columns:
+        return samples
+    wrong = F.raise_error(F.concat(F.lit(f"not a {kind} but a "), F.col("event_type"), F.lit(": "), F.col("metric"))).cast("boolean")
+    return samples.where(F.when(F.col("event_type") == kind, F.lit(True)).otherwise(wrong))
 
 
 def _gap(a: Column, b: Column) -> Column:
@@ -83,36 +100,48 @@ def _gap(a: Column, b: Column) -> Column:
 def _functions(q: float | None) -> dict[str, tuple[Column, float]]:
     """Aggregate and the value of an empty window, for gauges."""
     v, ts, n = F.col("value"), F.col("ts_ms"), F.count("value")
-    last, first = F.max_by(v, ts), F.min_by(v, ts)
-    two = _two_last()
+    last, first = F.max_by(v, F.struct(ts, v)), F.min_by(v, F.struct(ts, v))
     return {
         "avg_over_time": (F.avg(v), NAN), "min_over_time": (F.min(v), NAN), "max_over_time": (F.max(v), NAN),
         "sum_over_time": (F.sum(v), 0.0), "count_over_time": (n.cast("double"), 0.0), "last_over_time": (last, NAN),
         "present_over_time": (F.lit(1.0), 0.0), "quantile_over_time": (F.percentile(v, F.lit(0.5 if q is None else q)), NAN),
         "stddev_over_time": (F.stddev_pop(v), NAN), "stdvar_over_time": (F.var_pop(v), NAN),
         "delta": (last - first, NAN), "deriv": (F.when(n > 1, (last - first) / _gap(F.max(ts), F.min(ts))), NAN),
-        "idelta": (F.when(n > 1, two[0]["value"] - two[1]["value"]), NAN),
-        "changes": (None, NAN), "resets": (None, NAN),
     }
 
 
-_COMBINED = {"sum_over_time": (F.sum, F.sum, 0.0), "count_over_time": (F.count, F.sum, 0.0), "min_over_time": (F.min, F.min, NAN), "max_over_time": (F.max, F.max, NAN)}
+def _combined(function: str, range_ms: int):
+    """For functions that parts of a window can be combined for: parts by name, the whole from a function that combines a part
+    over the window, and the value of an empty window; else None."""
+    v, n = F.col("value"), {"n": F.count("value").cast("double")}
+    total, points = {"a": F.sum("value")}, {"a": F.max(F.struct("ts_ms", "value"))}
+    return {
+        "sum_over_time": (total, lambda over: over(F.sum, "a"), 0.0), "increase": (total, lambda over: over(F.sum, "a"), 0.0),
+        "rate": (total, lambda over: over(F.sum, "a") / (range_ms / 1000), 0.0), "count_over_time": (n, lambda over: over(F.sum, "n"), 0.0),
+        "min_over_time": ({"a": F.min(v)}, lambda over: over(F.min, "a"), NAN), "max_over_time": ({"a": F.max(v)}, lambda over: over(F.max, "a"), NAN),
+        "avg_over_time": (total | n, lambda over: over(F.sum, "a") / over(F.sum, "n"), NAN), "last_over_time": (points, lambda over: over(F.max, "a")["value"], NAN),
+        "present_over_time": (n, lambda over: F.when(over(F.sum, "n") > 0, 1.0), 0.0),
+    }.get(function)
 
 
 def over_time(samples: DataFrame, grid: Grid, range_ms: int, function: str, q: float | None = None) -> DataFrame:
     """A range function of gauges at every step, for every series that has a sample in [start - range, end].
 
-    An empty window gives 0 for sums, counts and presence, NaN for the rest. Values that are NaN count as values.
+    An empty window gives 0 for sums, counts and presence, NaN for the rest. Values that are NaN count as values. Samples that
+    with_kind shows to be no gauges fail the query.
     """
-    near = raw_range(samples, grid, range_ms)
+    near = raw_range(of_kind(samples, "GAUGE"), grid, range_ms)
     series = near.groupBy("series_key").agg(F.first("metric").alias("metric"), F.first("labels").alias("labels"))
-    if function in _COMBINED and range_ms % grid.step == 0 and range_ms // grid.step >= WIDE:
+    if _is_wide(grid, range_ms, function):
         return _wide(near, series, grid, range_ms, function)
     if function in ("changes", "resets"):
-        w = Window.partitionBy("series_key", "t").orderBy("ts_ms")
-        before = F.lag("value").over(w)
-        hit = F.col("value") != before if function == "changes" else F.col("value") < before
-        by = _by_step(near, grid, range_ms).withColumn("hit", F.coalesce(hit.cast("double"), F.lit(0.0))).groupBy("series_key", "t").agg(F.sum("hit").alias("value"))
+        hit = F.col("value") != F.col("before") if function == "changes" else F.col("value") < F.col("before")
+        inside = F.col("before_ms") > F.col("t") - range_ms
+        by = _by_step(_with_before(near), grid, range_ms).groupBy("series_key", "t").agg(F.sum(F.when(inside & hit, 1.0).otherwise(0.0)).alias("value"))
+        return _complete(by, series, grid, NAN)
+    if function == "idelta":
+        last, both = _last_with_before(range_ms)
+        by = _by_step(_with_before(near), grid, range_ms).groupBy("series_key", "t").agg(F.when(both, last["value"] - last["before"]).alias("value"))
         return _complete(by, series, grid, NAN)
     aggregate, empty = _functions(q)[function]
     by = _by_step(near, grid, range_ms).groupBy("series_key", "t").agg(aggregate.alias("value"))
@@ -126,16 +155,20 @@ def _complete(by: DataFrame, series: DataFrame, grid: Grid, empty: float) -> Dat
     return joined.select("metric", "labels", "series_key", "ts_ms", F.coalesce("value", F.lit(empty)).alias("value"))
 
 
+def _is_wide(grid: Grid, range_ms: int, function: str) -> bool:
+    return _combined(function, range_ms) is not None and range_ms % grid.step == 0 and range_ms // grid.step >= WIDE
+
+
 def _wide(near: DataFrame, series: DataFrame, grid: Grid, range_ms: int, function: str) -> DataFrame:
     """Windows of very many steps: samples are combined by step, then a frame runs over the steps."""
-    first, again, empty = _COMBINED[function]
+    parts, whole, empty = _combined(function, range_ms)
     cell = (F.ceil((F.col("ts_ms") - grid.start) / grid.step) * grid.step + grid.start).cast("long")
-    by = near.withColumn("t", cell).groupBy("series_key", "t").agg(first("value").cast("double").alias("part"))
+    by = near.withColumn("t", cell).groupBy("series_key", "t").agg(*[part.alias(name) for name, part in parts.items()])
     # steps before the grid feed its first windows
     early = Grid(grid.start - range_ms + grid.step, grid.end, grid.step)
     rows = on_grid(series, early).join(by.withColumnRenamed("t", "ts_ms"), ["series_key", "ts_ms"], "left")
     w = Window.partitionBy("series_key").orderBy("ts_ms").rangeBetween(-(range_ms - grid.step), 0)
-    out = rows.withColumn("value", F.coalesce(again("part").over(w), F.lit(empty)))
+    out = rows.withColumn("value", F.coalesce(whole(lambda f, part: f(part).over(w)), F.lit(empty)))
     return out.where(F.col("ts_ms") >= grid.start).select(*RESULT)
 
 
@@ -160,18 +193,21 @@ def delta_samples(sums: DataFrame) -> DataFrame:
 
 
 def counter_function(deltas: DataFrame, grid: Grid, range_ms: int, function: str) -> DataFrame:
-    """increase, rate and irate over per-interval deltas; no extrapolation. Empty: 0, 0, NaN."""
-    near = raw_range(deltas, grid, range_ms)
+    """increase, rate and irate over per-interval deltas; no extrapolation. Empty: 0, 0, NaN. Samples that with_kind shows to be
+    no sums fail the query."""
+    near = raw_range(of_kind(deltas, "SUM"), grid, range_ms)
     series = near.groupBy("series_key").agg(F.first("metric").alias("metric"), F.first("labels").alias("labels"))
+    if _is_wide(grid, range_ms, function) and function in ("increase", "rate"):
+        return _wide(near, series, grid, range_ms, function)
     if function in ("increase", "rate"):
         seconds = range_ms / 1000 if function == "rate" else 1.0
         by = _by_step(near, grid, range_ms).groupBy("series_key", "t").agg((F.sum("value") / seconds).alias("value"))
         return _complete(by, series, grid, 0.0)
     if function != "irate":
         raise ValueError(f"not a function of counters: {function}")
-    two = _two_last()
-    value = F.when(F.count("value") > 1, two[0]["value"] / _gap(two[0]["ts_ms"], two[1]["ts_ms"]))
-    return _complete(_by_step(near, grid, range_ms).groupBy("series_key", "t").agg(value.alias("value")), series, grid, NAN)
+    last, both = _last_with_before(range_ms)
+    by = _by_step(_with_before(near), grid, range_ms).groupBy("series_key", "t").agg(F.when(both, last["value"] / _gap(last["ts_ms"], last["before_ms"])).alias("value"))
+    return _complete(by, series, grid, NAN)
 
 
 def subquery(inner: DataFrame, by_ms: int = 0) -> DataFrame:
@@ -229,8 +265,13 @@ def times(samples: DataFrame, grid: Grid) -> DataFrame:
 
 
 def constant(samples: DataFrame, grid: Grid, value: float) -> DataFrame:
-    """A scalar as a series without labels: vector(s)."""
-    return times(samples, grid).select(F.lit("").alias("metric"), F.create_map().cast("map<string,string>").alias("labels"), F.lit("{}").alias("series_key"), "ts_ms", F.lit(float(value)).alias("value"))
+    """A fixed scalar as a series without labels: vector(2)."""
+    return vector(times(samples, grid).withColumn("value", F.lit(float(value))))
+
+
+def vector(scalars: DataFrame) -> DataFrame:
+    """vector(s): a scalar (ts_ms, value) as a series without labels."""
+    return scalars.select(F.lit("").alias("metric"), F.create_map().cast("map<string,string>").alias("labels"), F.lit("{}").alias("series_key"), "ts_ms", "value")
 
 
 def scalar(vector: DataFrame, grid: Grid) -> DataFrame:

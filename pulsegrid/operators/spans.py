@@ -134,8 +134,8 @@ def trace_tree(spans: DataFrame) -> DataFrame:
     A span without a parent in its trace is a root and has a NULL parent. Offsets count from the trace's first start.
     """
     one = spans.groupBy("trace_id", "span_id").agg(F.first("parent_id").alias("parent_id"), F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"))
-    first = F.min("start_ns").over(Window.partitionBy("trace_id"))
-    rows = one.withColumn("offset_ns", F.col("start_ns") - first).withColumn("duration_ns", F.greatest(F.lit(0), F.col("end_ns") - F.col("start_ns")))
+    first = spans.groupBy("trace_id").agg(F.min("start_ns").alias("first_ns"))
+    rows = one.join(first, "trace_id").withColumn("offset_ns", F.col("start_ns") - F.col("first_ns")).drop("first_ns").withColumn("duration_ns", F.greatest(F.lit(0), F.col("end_ns") - F.col("start_ns")))
     parents = rows.select("trace_id", F.col("span_id").alias("parent_id"), F.lit(1).alias("hit"))
     rows = rows.join(parents, ["trace_id", "parent_id"], "left").withColumn("parent_id", F.when(F.col("hit") == 1, F.col("parent_id"))).drop("hit")
     return rows.withColumn("is_root", F.col("parent_id").isNull())
@@ -143,7 +143,8 @@ def trace_tree(spans: DataFrame) -> DataFrame:
 
 def with_depth(tree: DataFrame, rounds: int = 20) -> DataFrame:
     """trace_tree with root_id and depth, by pointer doubling: each round a span learns its ancestor twice as far up, so a
-    tree of 2^n levels takes n rounds, and the loop ends when all have reached a root. Spans in a cycle have no root."""
+    tree of 2^n levels takes n rounds, and the loop ends when all have reached a root. Spans in a cycle have no root. Jobs run
+    while the frame is made."""
     up = cut(tree.select("trace_id", "span_id", F.coalesce("parent_id", "span_id").alias("above"), F.when(F.col("is_root"), 0).otherwise(1).alias("depth"), F.col("is_root").alias("done")))
     for _ in range(rounds):
         if up.where("not done").isEmpty():

@@ -54,6 +54,12 @@ def with_scalar(vector: DataFrame, op: str, value: float | Column, scalar_left:
     return vector.withColumn("value", F.when(hit, 1.0).otherwise(0.0)) if as_bool else vector.where(hit)
 
 
+def with_scalars(vector: DataFrame, op: str, scalars: DataFrame, scalar_left: bool = False, as_bool: bool = False) -> DataFrame:
+    """A vector and a scalar that has a value at each step (ts_ms, value), such as time() or scalar(v)."""
+    by_step = scalars.select("ts_ms", F.col("value").alias("scalar_value"))
+    return with_scalar(vector.join(by_step, "ts_ms"), op, F.col("scalar_value"), scalar_left, as_bool).drop("scalar_value")
+
+
 def negated(vector: DataFrame) -> DataFrame:
     return vector.withColumn("value", -F.col("value"))
 

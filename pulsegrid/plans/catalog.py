@@ -33,10 +33,10 @@ def add(name: str, sql: str, build: Query) -> None:
 
 
 T0, DAY, HOUR = instant_ms("2024-01-01T00:00:00Z"), duration_ms("1d"), duration_ms("1h")
-#: The grid of the gauge queries, and that of the yearly tables.
-GRID = Grid(T0 + DAY, T0 + 28 * DAY, duration_ms("12h"))
+#: The grid of the gauge queries, and that of the yearly tables: both span all of their tables' days.
+GRID = Grid(T0, T0 + 30 * DAY, duration_ms("12h"))
 O0 = instant_ms("1995-01-01")
-ORDERS = Grid(O0, O0 + 720 * DAY, duration_ms("30d"))
+ORDERS = Grid(O0, O0 + 2520 * DAY, duration_ms("30d"))
 
 
 def shown(df: DataFrame, *columns: str) -> DataFrame:
@@ -107,7 +107,7 @@ add("promql_range_selector", f"WITH {GAUGES} SELECT metric, labels, ts_ms, round
 for _name, _op, _value, _cond in (("eq", "=", "7", "usr = '7'"), ("ne", "!=", "7", "usr <> '7'"), ("regex", "=~", "1[0-4].*", "regexp_full_match(usr, '1[0-4].*')"), ("not_regex", "!~", "1.*|2", "NOT regexp_full_match(usr, '1.*|2')")):
     add(f"promql_match_{_name}", f"WITH {GAUGES} SELECT metric, labels, ts_ms, round(value, 6) AS value FROM gauges WHERE metric = 'error' AND {_cond}", lambda s, d, m=("user", _op, _value): shown(P.select(T.gauges(s, d), "error", [m])))
 add("promql_match_name", f"WITH {GAUGES} SELECT metric, labels, ts_ms, round(value, 6) AS value FROM gauges WHERE regexp_full_match(metric, 'c.*|error')", lambda s, d: shown(P.select(T.gauges(s, d), None, [("__name__", "=~", "c.*|error")])))
-add("promql_match_absent_label", f"WITH {GAUGES} SELECT metric, labels, ts_ms, value FROM gauges WHERE false", lambda s, d: shown(P.select(T.gauges(s, d), "click", [("host", "!=", "x")])))
+add("promql_match_absent_label", f"WITH {GAUGES} SELECT metric, 'host=' || usr || ',' || labels AS labels, ts_ms, round(value, 6) AS value FROM gauges WHERE metric = 'click' AND starts_with(usr, '1') AND usr <> '12'", lambda s, d: shown(P.select(T.gauges(s, d).withColumn("labels", F.when(F.col("labels")["user"].startswith("1"), F.map_concat("labels", F.create_map(F.lit("host"), F.col("labels")["user"]))).otherwise(F.col("labels"))), "click", [("host", "!=", "12")])))
 add("promql_union_of_selectors", f"WITH {GAUGES} SELECT metric, count(*) AS n FROM gauges WHERE metric = 'view' OR usr = '7' GROUP BY metric", lambda s, d: P.union_of(T.gauges(s, d), [("view", []), (None, [("user", "=", "7")])]).groupBy("metric").agg(F.count("*").alias("n")))
 add("promql_series_discovery", f"WITH {GAUGES}, c AS (SELECT metric, labels, min(ts_ms) AS a, max(ts_ms) AS b FROM gauges GROUP BY ALL) SELECT metric || '{{' || labels || '}}' AS series_key, metric FROM c WHERE a <= {T0 + 9 * DAY} AND b >= {T0 + 5 * DAY} AND regexp_full_match(replace(labels, 'user=', ''), '.*3')", lambda s, d: P.discover(T.catalogue_of(T.gauges(s, d), "GAUGE"), T0 + 5 * DAY, T0 + 9 * DAY, None, [("user", "=~", ".*3")]).select("series_key", "metric"))
 add("promql_metric_kind", f"WITH {GAUGES} SELECT metric, 'GAUGE' AS event_type, count(*) AS n FROM gauges GROUP BY metric", lambda s, d: P.with_kind(T.gauges(s, d), T.catalogue(s, d)).groupBy("metric", "event_type").agg(F.count("*").alias("n")))
@@ -127,9 +127,9 @@ for _f, (_agg, _empty) in _OVER.items():
 for _f, _cond in (("changes", "x.value <> x.p"), ("resets", "x.value < x.p")):
     _src = f"{GAUGES}, near AS (SELECT * FROM gauges WHERE metric = 'view'), {_grid(GRID)}, j AS (SELECT x.metric, x.labels, g.t, x.value, lag(x.value) OVER (PARTITION BY x.labels, g.t ORDER BY x.ts_ms) AS p FROM grid g JOIN near x ON x.ts_ms > g.t - {2 * DAY} AND x.ts_ms <= g.t), w AS (SELECT metric, labels, t, CAST(count(*) FILTER ({_cond}) AS DOUBLE) AS v FROM j x GROUP BY ALL)"
     add(f"promql_{_f}", f"WITH {_src}" + _show(), lambda s, d, f=_f: shown(P.over_time(g(s, d, "view"), GRID, 2 * DAY, f).where(~F.isnan("value"))))
-_WIDE = Grid(T0 + 8 * DAY, T0 + 28 * DAY, 2 * HOUR)
-for _f, (_agg, _empty) in {k: _OVER[k] for k in ("sum_over_time", "count_over_time", "min_over_time", "max_over_time")}.items():
-    add(f"promql_wide_{_f}", f"WITH {GAUGES}, {_window(_agg, 'error', _WIDE, 7 * DAY, empty=_empty)} SELECT metric, t AS ts_ms, round(sum(v), 4) AS value, count(v) AS n FROM w GROUP BY ALL", lambda s, d, f=_f: P.over_time(g(s, d, "error"), _WIDE, 7 * DAY, f).where(~F.isnan("value")).groupBy("metric", "ts_ms").agg(F.round(F.sum("value"), 4).alias("value"), F.count("value").alias("n")))
+_WIDE = Grid(T0, T0 + 30 * DAY, 2 * HOUR)
+for _f, (_agg, _empty) in {k: _OVER[k] for k in ("sum_over_time", "count_over_time", "min_over_time", "max_over_time", "avg_over_time", "last_over_time", "present_over_time")}.items():
+    add(f"promql_wide_{_f}", f"WITH {GAUGES}, {_window(_agg, 'error', _WIDE, 7 * DAY, empty=_empty)} SELECT metric, t AS ts_ms, round(sum(v), 4) AS value, count(v) AS n FROM w WHERE v IS NOT NULL GROUP BY ALL", lambda s, d, f=_f: P.over_time(g(s, d, "error"), _WIDE, 7 * DAY, f).where(~F.isnan("value")).groupBy("metric", "ts_ms").agg(F.round(F.sum("value"), 4).alias("value"), F.count("value").alias("n")))
 for _f, _agg, _empty in (("increase", "sum(x.value)", "0"), ("rate", f"sum(x.value) / {60 * DAY / 1000}", "0"), ("irate", f"CASE WHEN count(x.value) > 1 THEN {_last_two}[1] / greatest((list(x.ts_ms ORDER BY x.ts_ms DESC)[1] - list(x.ts_ms ORDER BY x.ts_ms DESC)[2]) / 1000.0::DOUBLE, 1.0::DOUBLE) END", "NULL")):
     _sql = f"WITH {SUMS}, {_window(_agg, 'orders', ORDERS, 60 * DAY, 'sums', _empty)} SELECT metric, labels, t AS ts_ms, round(v, 9) AS value FROM w"
     _show9 = lambda df: df.select("metric", S.label_text("labels").alias("labels"), "ts_ms", F.round(F.nanvl("value", F.lit(None).cast("double")), 9).alias("value"))
@@ -150,10 +150,12 @@ for _f, _expr in {"hour": "hour", "minute": "minute", "day_of_month": "day", "da
     _part = f"CAST({_expr}(make_timestamp(t * 1000)) AS DOUBLE)" if _expr != "last" else "CAST(day(last_day(make_timestamp(t * 1000))) AS DOUBLE)"
     add(f"promql_{_f}", _AVG + f" SELECT metric, labels, t AS ts_ms, {_part} AS value FROM w", lambda s, d, f=_f: shown(P.map_values(P.timestamps(avg(s, d)), f)))
 add("promql_timestamp", _AVG + " SELECT metric, labels, t AS ts_ms, t / 1000.0::DOUBLE AS value FROM w", lambda s, d: shown(P.timestamps(avg(s, d))))
-add("promql_time", f"WITH {_grid(GRID)}, {GAUGES} SELECT t AS ts_ms, t / 1000.0::DOUBLE AS value, (SELECT count(*) FROM gauges) AS samples FROM grid", lambda s, d: P.times(T.gauges(s, d), GRID).crossJoin(F.broadcast(T.gauges(s, d).agg(F.count("*").alias("samples")))))
+add("promql_time", _AVG + " SELECT metric, labels, t AS ts_ms, round(t / 1000.0::DOUBLE - v, 4) AS value FROM w", lambda s, d: shown(V.with_scalars(avg(s, d), "-", P.times(T.gauges(s, d), GRID), scalar_left=True)).withColumn("value", F.round("value", 4)))
 add("promql_scalar", f"WITH {GAUGES}, {_grid(GRID)}, {_window('sum(x.value)', empty='0')}, a AS (SELECT t, sum(v) AS v FROM w GROUP BY t) SELECT t AS ts_ms, round(a.v, 6) AS value FROM grid LEFT JOIN a USING (t)", lambda s, d: rounded(P.scalar(V.aggregate(P.over_time(g(s, d), GRID, DAY, "sum_over_time"), "sum"), GRID)))
 add("promql_absent", f"WITH {GAUGES}, {_look.format(look=4 * HOUR).replace("metric = 'click'", "metric = 'click' AND usr = '3'")}, g2 AS (SELECT t FROM grid EXCEPT SELECT t FROM w) SELECT 'absent' AS metric, 'user=3' AS labels, t AS ts_ms, 1.0::DOUBLE AS value FROM g2", lambda s, d: shown(P.absent(P.instant(P.select(T.gauges(s, d), "click", [("user", "=", "3")]), GRID, 4 * HOUR), GRID, {"user": "3"})))
-add("promql_vector", f"WITH {_grid(GRID)}, {GAUGES} SELECT '' AS metric, '' AS labels, t AS ts_ms, 1.5::DOUBLE AS value FROM grid", lambda s, d: shown(P.constant(T.gauges(s, d), GRID, 1.5)))
+add("promql_vector", f"WITH {GAUGES}, {_window('sum(x.value)', empty='0')}, a AS (SELECT t, sum(v) AS v FROM w GROUP BY t) SELECT '' AS metric, '' AS labels, t AS ts_ms, round(v, 6) AS value FROM a", lambda s, d: shown(P.vector(P.scalar(V.aggregate(P.over_time(g(s, d), GRID, DAY, "sum_over_time"), "sum"), GRID))))
+for _f, _dir in (("sort", "ASC"), ("sort_desc", "DESC")):
+    add(f"promql_{_f}_first", _AVG + f" SELECT metric, labels, t AS ts_ms, round(v, 6) AS value FROM w WHERE v IS NOT NULL ORDER BY v {_dir}, 'click{{' || labels || '}}', t LIMIT 50", lambda s, d, x=_dir == "DESC": shown(P.sort(avg(s, d).where(~F.isnan("value")), x).limit(50)))
 add("promql_sort_desc", _AVG + " SELECT metric, labels, t AS ts_ms, round(v, 6) AS value FROM w WHERE v IS NOT NULL ORDER BY v DESC", lambda s, d: shown(P.sort(avg(s, d).where(~F.isnan("value")), True)))
 add("promql_matrix", _AVG + " SELECT labels, count(*) AS points, min(t) AS first_ms, max(t) AS last_ms FROM w GROUP BY labels", lambda s, d: P.to_matrix(avg(s, d)).select(S.label_text("labels").alias("labels"), F.size("points").cast("long").alias("points"), F.col("points")[0]["ts_ms"].alias("first_ms"), F.element_at("points", -1)["ts_ms"].alias("last_ms")))
 add("promql_label_replace", f"WITH {GAUGES} SELECT CASE WHEN regexp_full_match(usr, '(.).*') THEN 'digit=' || substr(usr, 1, 1) ELSE '' END AS digit, count(*) AS n FROM gauges GROUP BY ALL", lambda s, d: T.gauges(s, d).select(S.label_text(S.keep_labels(S.label_replace(F.col("labels"), "digit", "$1", "user", "(.).*"), ["digit"])).alias("digit")).groupBy("digit").agg(F.count("*").alias("n")))
@@ -186,9 +188,9 @@ add("promql_negate", _AVG + " SELECT metric, labels, t AS ts_ms, round(-v, 6) AS
 add("promql_divide_by_zero", _AVG + " SELECT metric, labels, t AS ts_ms, CAST(NULL AS DOUBLE) AS value FROM w", lambda s, d: shown(V.with_scalar(avg(s, d), "/", 0.0)))
 for _name, _op in (("eq", "=="), ("ne", "!="), ("gt", ">"), ("lt", "<"), ("ge", ">="), ("le", "<=")):
     _sqlop = {"==": "=", "!=": "<>"}.get(_op, _op)
-    _keeps = f"coalesce(v {_sqlop} 40, {str(_op == '!=').lower()})"
-    add(f"promql_filter_{_name}", _AVG + f" SELECT metric, labels, t AS ts_ms, round(v, 6) AS value FROM w WHERE {_keeps}", lambda s, d, o=_op: shown(V.with_scalar(avg(s, d), o, 40.0)))
-    add(f"promql_bool_{_name}", _AVG + f" SELECT metric, labels, t AS ts_ms, CASE WHEN {_keeps} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM w", lambda s, d, o=_op: shown(V.with_scalar(avg(s, d), o, 40.0, as_bool=True)))
+    _keeps = f"coalesce(floor(v) {_sqlop} 40, {str(_op == '!=').lower()})"
+    add(f"promql_filter_{_name}", _AVG + f" SELECT metric, labels, t AS ts_ms, round(floor(v), 6) AS value FROM w WHERE {_keeps}", lambda s, d, o=_op: shown(V.with_scalar(P.map_values(avg(s, d), "floor"), o, 40.0)))
+    add(f"promql_bool_{_name}", _AVG + f" SELECT metric, labels, t AS ts_ms, CASE WHEN {_keeps} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM w", lambda s, d, o=_op: shown(V.with_scalar(P.map_values(avg(s, d), "floor"), o, 40.0, as_bool=True)))
 for _name, _op, _expr in (("add", "+", "w.v + p.v"), ("divide", "/", "CASE WHEN p.v <> 0 THEN w.v / p.v END"), ("subtract", "-", "w.v - p.v")):
     add(f"promql_vectors_{_name}_on", _TWO + f" SELECT w.metric, w.labels, w.t AS ts_ms, round({_expr}, 6) AS value FROM w JOIN p ON p.labels = w.labels AND p.t = w.t", lambda s, d, o=_op: shown(V.binary(avg(s, d), avg(s, d, "view"), o, V.Matching(on=["user"]))))
 add("promql_vectors_ignoring", _TWO + " SELECT w.metric, w.labels, w.t AS ts_ms, round(w.v * p.v, 6) AS value FROM w JOIN p ON p.labels = w.labels AND p.t = w.t", lambda s, d: shown(V.binary(avg(s, d), avg(s, d, "view"), "*", V.Matching(ignoring=["host"]))))
@@ -203,17 +205,17 @@ add("promql_or", _HALF + " SELECT metric, labels, t AS ts_ms, round(v, 6) AS val
 
 # -- metric requests ---------------------------------------------------------------------------------------------------
 
-_G = M.MetricRequest("click", T0 + DAY, T0 + 20 * DAY)
+_G = M.MetricRequest("click", T0, T0 + 30 * DAY)
 for _agg, _expr in {"AVG": "avg(value)", "SUM": "sum(value)", "MIN": "min(value)", "MAX": "max(value)", "COUNT": "count(value)", "P50": "quantile_cont(value, 0.5)", "P75": "quantile_cont(value, 0.75)", "P90": "quantile_cont(value, 0.9)", "P95": "quantile_cont(value, 0.95)", "P99": "quantile_cont(value, 0.99)"}.items():
     for _res, _size in (("HOURLY", HOUR), *((("SECONDLY", 1000), ("MINUTELY", 60_000)) if _agg in ("AVG", "P95") else ())):
         add(f"gauge_{_agg.lower()}_{_res.lower()}", f"WITH {GAUGES} SELECT metric, labels AS tags, ts_ms - ts_ms % {_size} AS ts_ms, {_expr if _agg == 'COUNT' else f'round({_expr}, 6)'} AS value FROM gauges WHERE metric = 'click' AND ts_ms >= {_G.start} AND ts_ms < {_G.end} GROUP BY ALL", lambda s, d, a=_agg, r=_res: rounded(M.gauge(T.gauges(s, d), _G, r, a)))
-_one = M.MetricRequest("orders", O0, O0 + 300 * DAY, {"status": "F", "priority": "1-URGENT"})
+_one = M.MetricRequest("orders", O0, O0 + 2520 * DAY, {"status": "F", "priority": "1-URGENT"})
 _own = f"metric = 'orders' AND status = 'F' AND priority = '1-URGENT' AND ts_start < {_one.end} AND ts_end > {_one.start}"
 add("sum_delta_aggregate", f"WITH {SUMS} SELECT min(ts_start) AS ts_start, max(ts_end) AS ts_end, CAST(sum(value) AS BIGINT) AS value FROM sums WHERE {_own} HAVING count(*) > 0", lambda s, d: M.sum_delta_aggregate(T.sums(s, d), _one))
 add("sum_cumulative", f"WITH {SUMS}, c AS (SELECT * REPLACE (sum(value) OVER (PARTITION BY labels ORDER BY ts_start) AS value) FROM sums) SELECT ts_start, ts_end, CAST(value AS BIGINT) AS value FROM c WHERE {_own} ORDER BY value DESC, ts_end DESC LIMIT 1", lambda s, d: M.sum_cumulative(T.cumulative_sums(s, d), _one))
-add("sum_exact_tags_only", f"WITH {SUMS} SELECT ts_start, ts_end, CAST(value AS BIGINT) AS value FROM sums WHERE false", lambda s, d: M.sum_points(T.sums(s, d), M.MetricRequest("orders", O0, O0 + 300 * DAY, {"status": "F"}), "DELTA").select("ts_start", "ts_end", "value"))
+add("sum_exact_tags_only", f"WITH {SUMS} SELECT ts_start, ts_end, CAST(value AS BIGINT) AS value FROM sums WHERE status = 'F' AND priority = '2-HIGH'", lambda s, d: M.sum_points(T.sums(s, d), M.MetricRequest("orders", O0, O0 + 2520 * DAY, {"status": "F"}), "DELTA").unionByName(M.sum_points(T.sums(s, d), M.MetricRequest("orders", O0, O0 + 2520 * DAY, {"status": "F", "priority": "2-HIGH"}), "DELTA")).select("ts_start", "ts_end", "value"))
 add("sum_to_deltas", f"WITH {SUMS} SELECT labels, ts_end, CAST(value AS BIGINT) AS value FROM sums", lambda s, d: P.to_deltas(T.cumulative_sums(s, d)).select(S.label_text("labels").alias("labels"), "ts_end", "value"))
-_hr = M.MetricRequest("price", O0, O0 + 400 * DAY)
+_hr = M.MetricRequest("price", O0, O0 + 2520 * DAY)
 _cells = lambda df, *k: df.select(*k, F.posexplode("counts").alias("place", "n")).withColumn("n", F.col("n").cast("long"))
 _unpivot = " UNION ALL ".join(f"SELECT {{k}}, {i} AS place, c{i} AS n FROM h" for i in range(6))
 add("histogram_merged", f"WITH {HISTOS}, h AS (SELECT labels AS tags, {', '.join(f'CAST(sum(c{i}) AS BIGINT) AS c{i}' for i in range(6))} FROM histos WHERE ts_start < {_hr.end} AND ts_end > {_hr.start} GROUP BY ALL) {_unpivot.format(k='tags')}", lambda s, d: _cells(M.histogram(T.histograms(s, d), _hr, "MERGED"), "tags"))

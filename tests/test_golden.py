@@ -183,3 +183,44 @@ def test_rollup_merges_like_one_pass(spark, data):
 def test_topk_names_and_ties(data):
     out = V.aggregate(over(data, "cpu_usage"), "topk", parameter=1).select("metric", label_text("labels").alias("l"), "value").distinct().collect()
     assert {r["metric"] for r in out} == {"topk"} and all("i2" in r["l"] for r in out)
+
+
+def test_label_sets_are_not_merged_and_patterns_match_whole_values(spark):
+    """Labels whose text would look alike stay apart; a value with a line feed at its end is no match."""
+    rows = [("m", {"a": "1,b=2"}, 1000, 5.0), ("m", {"a": "1", "b": "2"}, 1000, 6.0), ("m{", {}, 1000, 1.0), ("m", {"a": "ok\n"}, 1000, 7.0), ("m", {"a": "1\\"}, 1000, 8.0)]
+    samples = spark.createDataFrame(rows, "metric string, labels map<string,string>, ts_ms long, value double")
+    out = P.over_time(samples, Grid(1000, 1000, 1000), 1000, "sum_over_time")
+    assert sorted(r["value"] for r in out.collect()) == [1.0, 5.0, 6.0, 7.0, 8.0]
+    assert P.select(samples, "m", [("a", "=~", "ok")]).count() == 0 and P.select(samples, "m", [("a", "=~", "(?s)ok.")]).count() == 1
+
+
+def test_wrong_kind_fails(spark):
+    rows = [("m", {"a": "1"}, 1000, 5.0, "SUM")]
+    samples = spark.createDataFrame(rows, "metric string, labels map<string,string>, ts_ms long, value double, event_type string")
+    with pytest.raises(Exception, match="not a GAUGE but a SUM"):
+        P.over_time(samples, Grid(1000, 1000, 1000), 1000, "avg_over_time").collect()
+    assert P.counter_function(samples, Grid(1000, 1000, 1000), 1000, "increase").first()["value"] == 5.0
+    with pytest.raises(Exception, match="not a SUM but a GAUGE"):
+        P.counter_function(samples.withColumn("event_type", F.lit("GAUGE")), Grid(1000, 1000, 1000), 1000, "rate").collect()
+
+
+def test_ties_and_last_two(spark):
+    """Of samples at one time the larger counts as the last; the last two of a window are those inside it."""
+    rows = [("m", {}, t, v) for t, v in ((1000, 1.0), (2000, 5.0), (2000, 9.0), (3000, 2.0))]
+    samples = spark.createDataFrame(rows, "metric string, labels map<string,string>, ts_ms long, value double")
+    grid = Grid(2000, 4000, 1000)
+    got = {(f, r["ts_ms"]): r["value"] for f in ("last_over_time", "idelta", "changes", "resets") for r in P.over_time(samples, grid, 2000, f).collect()}
+    assert got["last_over_time", 2000] == 9.0 and got["idelta", 2000] == 4.0 and got["idelta", 3000] == -7.0
+    assert math.isnan(got["idelta", 4000]) and got["changes", 2000] == 2.0 and got["resets", 3000] == 1.0
+
+
+def test_combined_windows_equal_plain_ones(spark, monkeypatch):
+    rows = [("m", {"a": str(i % 3)}, 137 * i % 9000, float(i % 17)) for i in range(300)]
+    samples = spark.createDataFrame(rows, "metric string, labels map<string,string>, ts_ms long, value double")
+    grid = Grid(500, 9000, 100)
+    for f in ("avg_over_time", "last_over_time", "present_over_time", "count_over_time"):
+        out = []
+        for wide in (5, 10_000):
+            monkeypatch.setattr(P, "WIDE", wide)
+            out.append({(r["series_key"], r["ts_ms"]): round(r["value"], 9) for r in P.over_time(samples, grid, 1000, f).collect() if not math.isnan(r["value"])})
+        assert out[0] == out[1] and out[0]
