@@ -127,9 +127,10 @@ for _f, (_agg, _empty) in _OVER.items():
 for _f, _cond in (("changes", "x.value <> x.p"), ("resets", "x.value < x.p")):
     _src = f"{GAUGES}, near AS (SELECT * FROM gauges WHERE metric = 'view'), {_grid(GRID)}, j AS (SELECT x.metric, x.labels, g.t, x.value, lag(x.value) OVER (PARTITION BY x.labels, g.t ORDER BY x.ts_ms) AS p FROM grid g JOIN near x ON x.ts_ms > g.t - {2 * DAY} AND x.ts_ms <= g.t), w AS (SELECT metric, labels, t, CAST(count(*) FILTER ({_cond}) AS DOUBLE) AS v FROM j x GROUP BY ALL)"
     add(f"promql_{_f}", f"WITH {_src}" + _show(), lambda s, d, f=_f: shown(P.over_time(g(s, d, "view"), GRID, 2 * DAY, f).where(~F.isnan("value"))))
+# sums of averages may end in a five at the fifth digit, so they are rounded beyond it
 _WIDE = Grid(T0, T0 + 30 * DAY, 2 * HOUR)
 for _f, (_agg, _empty) in {k: _OVER[k] for k in ("sum_over_time", "count_over_time", "min_over_time", "max_over_time", "avg_over_time", "last_over_time", "present_over_time")}.items():
-    add(f"promql_wide_{_f}", f"WITH {GAUGES}, {_window(_agg, 'error', _WIDE, 7 * DAY, empty=_empty)} SELECT metric, t AS ts_ms, round(sum(v), 4) AS value, count(v) AS n FROM w WHERE v IS NOT NULL GROUP BY ALL", lambda s, d, f=_f: P.over_time(g(s, d, "error"), _WIDE, 7 * DAY, f).where(~F.isnan("value")).groupBy("metric", "ts_ms").agg(F.round(F.sum("value"), 4).alias("value"), F.count("value").alias("n")))
+    add(f"promql_wide_{_f}", f"WITH {GAUGES}, {_window(_agg, 'error', _WIDE, 7 * DAY, empty=_empty)} SELECT metric, t AS ts_ms, round(sum(v), {9 if _f == "avg_over_time" else 4}) AS value, count(v) AS n FROM w WHERE v IS NOT NULL GROUP BY ALL", lambda s, d, f=_f: P.over_time(g(s, d, "error"), _WIDE, 7 * DAY, f).where(~F.isnan("value")).groupBy("metric", "ts_ms").agg(F.round(F.sum("value"), 9 if f == "avg_over_time" else 4).alias("value"), F.count("value").alias("n")))
 for _f, _agg, _empty in (("increase", "sum(x.value)", "0"), ("rate", f"sum(x.value) / {60 * DAY / 1000}", "0"), ("irate", f"CASE WHEN count(x.value) > 1 THEN {_last_two}[1] / greatest((list(x.ts_ms ORDER BY x.ts_ms DESC)[1] - list(x.ts_ms ORDER BY x.ts_ms DESC)[2]) / 1000.0::DOUBLE, 1.0::DOUBLE) END", "NULL")):
     _sql = f"WITH {SUMS}, {_window(_agg, 'orders', ORDERS, 60 * DAY, 'sums', _empty)} SELECT metric, labels, t AS ts_ms, round(v, 9) AS value FROM w"
     _show9 = lambda df: df.select("metric", S.label_text("labels").alias("labels"), "ts_ms", F.round(F.nanvl("value", F.lit(None).cast("double")), 9).alias("value"))
