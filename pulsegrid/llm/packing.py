@@ -29,7 +29,7 @@ UNIT = 8
 DEPTH = 3
 END = 1
 #: Pieces of one length that are ranked together, about, so that a common length is not one task's work.
-RANKED = 8192
+RANKED = 1024
 #: Pieces in a block of the greedy part, about.
 BLOCK = 4096
 
