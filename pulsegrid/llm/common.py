@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -142,7 +143,7 @@ class _Codes(dict):
 class DistinctTable:
     """Distinct strings with an array of 32-bit integers each, found once and joined back by position.
 
-    find gets the new strings and returns one sequence of integers for each. The table is bounded: beyond `most` strings or
+    find gets the new strings and returns their integers in a row, and how many each has. The table is bounded: beyond `most` strings or
     `most_chars` characters it starts anew before the next block of texts.
     """
 
@@ -163,15 +164,15 @@ class DistinctTable:
             self.reset()
         counts = np.fromiter(map(len, strings), np.int64, len(strings))
         get = self.codes.__getitem__
-        codes = np.fromiter((c for s in strings for c in map(get, s)), np.int64, int(counts.sum()))
+        codes = np.fromiter(map(get, chain.from_iterable(strings)), np.int64, int(counts.sum()))
         if new := self.codes.new:
             self.codes.new = []
-            first, found = len(self.codes) - len(new), self.find(new)
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            end = self.used + int(sizes.sum())
+            first = len(self.codes) - len(new)
+            values, sizes = self.find(new)
+            end = self.used + len(values)
             self.flat = _room(self.flat, end)
             self.starts, self.sizes = _room(self.starts, len(self.codes)), _room(self.sizes, len(self.codes))
-            self.flat[self.used : end] = np.fromiter((x for f in found for x in f), np.int32, end - self.used)
+            self.flat[self.used : end] = values
             self.sizes[first : first + len(new)] = sizes
             self.starts[first : first + len(new)] = self.used + np.cumsum(sizes) - sizes
             self.used, self.chars = end, self.chars + sum(map(len, new))

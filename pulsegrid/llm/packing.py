@@ -10,7 +10,6 @@ The driver handles only the histogram and the plan, both bounded by the window,
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import unicodedata
@@ -35,9 +34,14 @@ BLOCK = 4096
 
 # -- tokens ------------------------------------------------------------------------------------------------------------
 
-#: Fixed values of the tokenizer file: its pattern, its specials, and what its normaliser would treat unlike str.split.
+#: Fixed values of the tokenizer file: its pattern, what its normaliser would treat unlike str.split, and its specials.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_ODD = re.compile("[\x00\x1c-\x1f]|<\\|startoftext\\|>|<\\|endoftext\\|>")
+_CONTROL = re.compile("[\x00\x1c-\x1f]")
+_SPECIALS = ("<|startoftext|>", "<|endoftext|>")
+
+
+def _is_odd(text: str) -> bool:
+    return bool(_CONTROL.search(text)) or any(s in text for s in _SPECIALS)
 
 
 class WordEncoder:
@@ -53,7 +57,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.split = regex.compile(_PATTERN).findall
+        self.split = regex.compile(" |" + _PATTERN).findall
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocab, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -73,47 +77,44 @@ class WordEncoder:
             if (key := raw(left + right)) not in ranks:
                 ranks[key] = len(ids)
                 ids.append(vocab[left + right])
-        self.ids, self.ends = np.array(ids, np.int32), np.zeros(len(ids), bool)
-        for key, i in ranks.items():
-            self.ends[i] = len(key) > 1 and key.endswith(b"\0")
+        self.ids = np.array(ids, np.int32)
+        self.space = ranks[b" \0"]
         self.words = tiktoken.Encoding("words", pat_str="[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
         self.table = C.DistinctTable(self.tokenize)
 
-    def tokenize(self, words: list[str]) -> list[list[int]]:
-        unknown = _unassigned().search
-        odd = [i for i, w in enumerate(words) if not w.isascii() and unknown(w)]
-        if odd:
+    def tokenize(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each word has."""
+        if not words:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        unknown = {c for c in set("".join(words)) if unicodedata.category(c) == "Cn"}
+        if unknown:
+            odd = [i for i, w in enumerate(words) if not unknown.isdisjoint(w)]
             said = self.library.encode_batch([words[i] for i in odd], add_special_tokens=False)
-            at = dict(zip(odd, (e.ids for e in said)))
-            rest = iter(self.tokenize([w for i, w in enumerate(words) if i not in at]))
-            return [at[i] if i in at else next(rest) for i in range(len(words))]
-        parts = [self.split(unicodedata.normalize("NFC", w).replace("Σ", "σ").lower()) for w in words]
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        got = np.array(self.words.encode_ordinary("\0".join(p for ps in parts for p in ps) + "\0"), np.int64)
-        ends = np.concatenate([[0], np.flatnonzero(self.ends[got]) + 1])
-        at = ends[np.concatenate([[0], np.cumsum(counts)])].tolist()
-        ids = self.ids[got].tolist()
-        return [ids[i:j] for i, j in zip(at, at[1:])]
+            at = {i: np.array(e.ids, np.int32) for i, e in zip(odd, said)}
+            ids, sizes = self.tokenize([w for i, w in enumerate(words) if i not in at])
+            rest = iter(np.split(ids, np.cumsum(sizes)[:-1]))
+            found = [at[i] if i in at else next(rest) for i in range(len(words))]
+            return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
+        # no word holds a space, so a space after each word keeps them apart
+        parts = self.split(unicodedata.normalize("NFC", " ".join(words) + " ").replace("Σ", "σ").lower())
+        got = np.array(self.words.encode_ordinary("\0".join(parts) + "\0"), np.int64)
+        between = got == self.space
+        ends = np.flatnonzero(between)
+        return self.ids[got[~between]], np.diff(ends, prepend=-1) - 1
 
     def run(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        plain = [[] if _ODD.search(t) else t.split() for t in texts]
+        odd = [i for i, t in enumerate(texts) if _is_odd(t)]
+        plain = [t.split() for t in texts]
+        for i in odd:
+            plain[i] = []
         ids, sizes = self.table.gather(*self.table.number(plain))
         out = np.split(ids, np.cumsum(sizes)[:-1])
-        for i, t in enumerate(texts):
-            if _ODD.search(t):
-                out[i] = np.array(self.library.encode(t, add_special_tokens=False).ids, np.int32)
+        for i in odd:
+            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.int32)
         return out
 
 
-@functools.cache
-def _unassigned() -> re.Pattern:
-    """Matches a code point that has no character in this Python's Unicode tables."""
-    bare = np.array([unicodedata.category(chr(i)) == "Cn" for i in range(0x110000)])
-    edges = np.flatnonzero(np.diff(bare, prepend=False, append=False)).tolist()
-    return re.compile("[" + "".join(f"{re.escape(chr(i))}-{re.escape(chr(j - 1))}" for i, j in zip(edges[::2], edges[1::2])) + "]")
-
-
 def _byte_chars() -> dict[int, str]:
     """The printable character that byte-level vocabularies write for each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]

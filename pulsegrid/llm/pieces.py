@@ -8,6 +8,7 @@ once, keeps ids and decoded text in a table of bounded size, and joins them back
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +37,13 @@ class ChunkTable:
         self.table = C.DistinctTable(self.segment)
         self.said: list[str] = []
 
-    def segment(self, new: list[str]) -> list[list[int]]:
+    def segment(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = self.model.encode([c[1:] for c in new], num_threads=1)
         # the library encodes an empty string as nothing, so a lone marker is looked up
         ids = [x or [self.model.piece_to_id(c)] for x, c in zip(ids, new, strict=True)]
         self.said += self.model.decode(ids, num_threads=1)
-        return ids
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())), sizes
 
     def run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Ids of all texts in a row (each with the end id), how many each text has, and the decoded texts."""
