@@ -91,6 +91,21 @@ def quantile(q: float, bounds: Column, counts: Column) -> Column:
     return F.when((n == 0) | (F.size(bounds) == 0), F.lit(NAN)).otherwise(value.cast("double"))
 
 
+def below(x: float, bounds: Column, counts: Column) -> Column:
+    """How many observations are at most x: the first bucket lies at its bound, the open one beyond any x, the others are spread
+    evenly."""
+    n = F.size(bounds)
+    cells = F.transform(F.slice(counts, F.lit(1), n), lambda c, i: F.struct(c.alias("c"), F.get(bounds, i).alias("high"), F.get(bounds, i - 1).alias("low")))
+    share = lambda b: F.when(b["high"] <= x, 1.0).when(b["low"].isNull() | (b["low"] >= x), 0.0).otherwise((F.lit(float(x)) - b["low"]) / (b["high"] - b["low"]))
+    return F.aggregate(cells, F.lit(0.0), lambda a, b: a + b["c"] * share(b))
+
+
+def fraction(low: float, high: float, bounds: Column, counts: Column) -> Column:
+    """The share of observations above low and up to high; no counts give NaN."""
+    n = total(counts)
+    return F.when((n == 0) | (F.size(bounds) == 0), F.lit(NAN)).otherwise((below(high, bounds, counts) - below(low, bounds, counts)) / n)
+
+
 def histogram_quantile(q: float, deltas: DataFrame, grid: Grid, range_ms: int) -> DataFrame:
     """At each step: the quantile of all histograms that touch [t - range, t], merged over series that differ in the label
     instance alone. Steps without any give no row."""

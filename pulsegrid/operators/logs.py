@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.series import checked_regex
+from ..functions.timegrid import ns_to_ms
 
 
 def condition(node: dict) -> Column:
@@ -56,6 +57,6 @@ def from_otlp(records: DataFrame) -> DataFrame:
     """Log rows from (time_unix_nano, trace_id binary, severity_number, body, service): milliseconds, lower-case hexadecimal
     ids, the severity number as the level, and a document id that depends on the content alone."""
     trace = F.lower(F.hex("trace_id"))
-    ms = F.floor(F.col("time_unix_nano") / 1_000_000)
+    ms = ns_to_ms(F.col("time_unix_nano"))
     doc = F.sha2(F.concat_ws("|", F.col("time_unix_nano").cast("string"), trace, F.col("severity_number").cast("string"), "body"), 256)
     return records.where("body is not null").select(ms.alias("ts_ms"), trace.alias("trace_id"), F.col("severity_number").cast("int").alias("level"), "body", F.coalesce("service", F.lit("unknown")).alias("service"), doc.alias("doc_id"))

@@ -46,6 +46,17 @@ def gauge(samples: DataFrame, request: MetricRequest, resolution: str, agg: str)
     return by.agg(aggregation(agg, F.col("value")).alias("value"))
 
 
+def gauges_of(samples: DataFrame, requests: dict[str, MetricRequest], resolution: str, agg: str) -> DataFrame:
+    """Many requests in one scan: gauge's rows of each, with its name as request. A sample counts for every request it meets."""
+    if resolution not in RESOLUTIONS:
+        raise ValueError(f"unknown resolution {resolution}")
+    meets = lambda r: (F.col("metric") == r.metric) & (F.col("ts_ms") >= r.start) & (F.col("ts_ms") < r.end) & has_tags(F.col("labels"), r.tags)
+    names = F.array_compact(F.array(*[F.when(meets(r), F.lit(name)) for name, r in requests.items()]))
+    rows = samples.withColumn("request", F.explode(names))
+    by = rows.groupBy("request", "metric", label_text("labels").alias("tags"), bucket(F.col("ts_ms"), RESOLUTIONS[resolution]).alias("ts_ms"))
+    return by.agg(aggregation(agg, F.col("value")).alias("value"))
+
+
 def sum_points(sums: DataFrame, request: MetricRequest, temporality: str) -> DataFrame:
     """Points of the series with exactly the request's tags that overlap the range."""
     overlap = (F.col("ts_start") < request.end) & (F.col("ts_end") > request.start)

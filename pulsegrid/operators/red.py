@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timegrid import RESOLUTIONS
+from ..functions.timegrid import RESOLUTIONS, ns_to_ms
 
 OPERATIONS_MOST = 20
 QUANTILES = (0.5, 0.75, 0.9, 0.99)
@@ -43,7 +43,7 @@ def series(events: DataFrame, start_ns: int, end_ns: int, service: str, resoluti
     """RED series of a service, of each of its peers and of its first operations by name: grouping service, peer or op, with
     the name in group_name. One scan with grouping sets; a bucket without good spans has NULL quantiles."""
     size = RESOLUTIONS[resolution]
-    ms = F.floor(F.col("ts_start_ns") / 1_000_000)
+    ms = ns_to_ms(F.col("ts_start_ns"))
     rows = within(events, start_ns, end_ns, service).withColumn("ts_ms", ms - ms % size)
     first_ops = operations(events, start_ns, end_ns, service, operations_most).select(F.col("name").alias("op"))
     # the list of operations is bounded by operations_most

@@ -101,12 +101,16 @@ def _functions(q: float | None) -> dict[str, tuple[Column, float]]:
     """Aggregate and the value of an empty window, for gauges."""
     v, ts, n = F.col("value"), F.col("ts_ms"), F.count("value")
     last, first = F.max_by(v, F.struct(ts, v)), F.min_by(v, F.struct(ts, v))
+    # a line by least squares over seconds from the step; a window of one time has none
+    x = (ts - F.col("t")) / 1000
+    ahead = F.regr_intercept(v, x) + F.regr_slope(v, x) * F.lit(0.0 if q is None else float(q))
     return {
         "avg_over_time": (F.avg(v), NAN), "min_over_time": (F.min(v), NAN), "max_over_time": (F.max(v), NAN),
         "sum_over_time": (F.sum(v), 0.0), "count_over_time": (n.cast("double"), 0.0), "last_over_time": (last, NAN),
         "present_over_time": (F.lit(1.0), 0.0), "quantile_over_time": (F.percentile(v, F.lit(0.5 if q is None else q)), NAN),
         "stddev_over_time": (F.stddev_pop(v), NAN), "stdvar_over_time": (F.var_pop(v), NAN),
         "delta": (last - first, NAN), "deriv": (F.when(n > 1, (last - first) / _gap(F.max(ts), F.min(ts))), NAN),
+        "predict_linear": (F.when(F.max(ts) > F.min(ts), ahead), NAN),
     }
 
 
@@ -127,8 +131,9 @@ def _combined(function: str, range_ms: int):
 def over_time(samples: DataFrame, grid: Grid, range_ms: int, function: str, q: float | None = None) -> DataFrame:
     """A range function of gauges at every step, for every series that has a sample in [start - range, end].
 
-    An empty window gives 0 for sums, counts and presence, NaN for the rest. Values that are NaN count as values. Samples that
-    with_kind shows to be no gauges fail the query.
+    q is the rank of quantile_over_time, or the seconds from the step on of predict_linear. An empty window gives 0 for sums,
+    counts and presence, NaN for the rest. Values that are NaN count as values. Samples that with_kind shows to be no gauges
+    fail the query.
     """
     near = raw_range(of_kind(samples, "GAUGE"), grid, range_ms)
     series = near.groupBy("series_key").agg(F.first("metric").alias("metric"), F.first("labels").alias("labels"))
@@ -227,7 +232,7 @@ _ONE: dict[str, object] = {
     "abs": F.abs, "ceil": lambda v: F.ceil(v).cast("double"), "floor": lambda v: F.floor(v).cast("double"), "round": F.rint,
     "exp": F.exp, "ln": F.ln, "log2": F.log2, "log10": F.log10, "sqrt": F.sqrt, "sgn": F.signum, "sin": F.sin, "cos": F.cos,
     "tan": F.tan, "asin": F.asin, "acos": F.acos, "atan": F.atan, "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh,
-    "deg": F.degrees, "rad": F.radians,
+    "acosh": F.acosh, "asinh": F.asinh, "atanh": F.atanh, "deg": F.degrees, "rad": F.radians,
 }
 _DATES: dict[str, object] = {
     "minute": F.minute, "hour": F.hour, "day_of_month": F.dayofmonth, "day_of_week": lambda t: F.dayofweek(t) - 1,
@@ -290,6 +295,11 @@ def absent(vector: DataFrame, grid: Grid, labels: dict[str, str] | None = None)
     return out.select(F.lit("absent").alias("metric"), named.alias("labels"), series_key(F.lit("absent"), named).alias("series_key"), "ts_ms", F.lit(1.0).alias("value"))
 
 
+def absent_over_time(samples: DataFrame, grid: Grid, range_ms: int, labels: dict[str, str] | None = None) -> DataFrame:
+    """absent_over_time(v[range]): 1 at each step whose window holds no sample of any series."""
+    return absent(_by_step(samples, grid, range_ms).select(F.col("t").alias("ts_ms")), grid, labels)
+
+
 def sort(vector: DataFrame, descending: bool = False) -> DataFrame:
     """sort and sort_desc: by value, then series and time."""
     return vector.orderBy(F.desc("value") if descending else F.asc("value"), "series_key", "ts_ms")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import cut
-from ..functions.timegrid import RESOLUTIONS
+from ..functions.timegrid import RESOLUTIONS, ns_to_ms
 from .metrics import aggregation
 
 SPANS_MOST, HINTS_MOST = 1000, 100
@@ -64,7 +64,7 @@ def numeric_series(spans: DataFrame, where: SpanFilter, name: str, resolution: s
     """An aggregate of a numeric attribute per bucket (of a second if no resolution is given), where it is present."""
     size = RESOLUTIONS[resolution or "SECONDLY"]
     rows = spans.where(where.column(False)).withColumn("v", attribute(name, "number").cast("double")).where("v is not null")
-    ms = F.floor(F.col("start_ns") / 1_000_000)
+    ms = ns_to_ms(F.col("start_ns"))
     return rows.groupBy((ms - ms % size).alias("ts_ms")).agg(aggregation(agg, F.col("v")).alias("value"))
 
 

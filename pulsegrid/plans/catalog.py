@@ -6,11 +6,13 @@ NULL. Limits are those of the request kinds, always under a total order.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import requests as Q
 from ..functions import series as S
 from ..functions.timegrid import Grid, duration_ms, instant_ms
 from ..operators import histograms as H
@@ -21,6 +23,7 @@ from ..operators import rollup as U
 from ..operators import samples as P
 from ..operators import spans as X
 from ..operators import vectors as V
+from ..sources import otlp as O
 from ..sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,6 +139,11 @@ for _f, _agg, _empty in (("increase", "sum(x.value)", "0"), ("rate", f"sum(x.val
     _show9 = lambda df: df.select("metric", S.label_text("labels").alias("labels"), "ts_ms", F.round(F.nanvl("value", F.lit(None).cast("double")), 9).alias("value"))
     add(f"promql_{_f}", _sql, lambda s, d, f=_f, w=_show9: w(P.counter_function(P.delta_samples(T.sums(s, d)), ORDERS, 60 * DAY, f)))
     add(f"promql_{_f}_of_cumulative", _sql, lambda s, d, f=_f, w=_show9: w(P.counter_function(P.delta_samples(T.cumulative_sums(s, d)), ORDERS, 60 * DAY, f)))
+_ahead = "CASE WHEN max(x.ts_ms) > min(x.ts_ms) THEN regr_intercept(x.value, (x.ts_ms - g.t) / 1000.0::DOUBLE) + regr_slope(x.value, (x.ts_ms - g.t) / 1000.0::DOUBLE) * 3600 END"
+add("promql_predict_linear", f"WITH {GAUGES}, {_window(_ahead, r=2 * DAY)} SELECT metric, labels, t AS ts_ms, round(v, 4) AS value FROM w", lambda s, d: P.over_time(g(s, d), GRID, 2 * DAY, "predict_linear", 3600.0).select("metric", S.label_text("labels").alias("labels"), "ts_ms", F.round(F.nanvl("value", F.lit(None).cast("double")), 4).alias("value")))
+add("promql_absent_over_time", f"WITH {GAUGES}, {_look.format(look=DAY).replace("metric = 'click'", "metric = 'click' AND usr = '3'")}, g2 AS (SELECT t FROM grid EXCEPT SELECT t FROM w) SELECT 'absent' AS metric, 'user=3' AS labels, t AS ts_ms, 1.0::DOUBLE AS value FROM g2", lambda s, d: shown(P.absent_over_time(P.select(T.gauges(s, d), "click", [("user", "=", "3")]), GRID, DAY, {"user": "3"})))
+add("promql_offset_of_sums", f"WITH {SUMS} SELECT labels, ts_end + {7 * DAY} AS ts_end, CAST(value AS BIGINT) AS value FROM sums", lambda s, d: P.offset(T.sums(s, d), 7 * DAY, "ts_end").select(S.label_text("labels").alias("labels"), "ts_end", "value"))
+add("promql_match_variable", f"WITH {GAUGES} SELECT metric, labels, ts_ms, round(value, 6) AS value FROM gauges WHERE metric = 'error' AND regexp_full_match(usr, '2.*')", lambda s, d: shown(P.select(T.gauges(s, d), Q.hydrate("{{metric}}", {"metric": "error"}), [("user", "=~", Q.substitute("$__{first}.*$__{unknown}", {"first": "2"}))])))
 _inner = Grid(GRID.start - 2 * DAY, GRID.end, 6 * HOUR)
 add("promql_subquery", f"WITH {GAUGES}, {_window('avg(x.value)', g=_inner)}, fine AS (SELECT metric, labels, t AS ts_ms, v AS value FROM w), {_window('max(x.value)', g=GRID, r=2 * DAY, source='fine', name='p')} SELECT metric, labels, t AS ts_ms, round(v, 6) AS value FROM p", lambda s, d: shown(P.over_time(P.subquery(P.over_time(g(s, d), P.inner_grid(GRID, 2 * DAY, 6 * HOUR), DAY, "avg_over_time").where(~F.isnan("value"))), GRID, 2 * DAY, "max_over_time")))
 
@@ -144,6 +152,12 @@ add("promql_subquery", f"WITH {GAUGES}, {_window('avg(x.value)', g=_inner)}, fin
 _AVG = f"WITH {GAUGES}, {_window('avg(x.value)')}"
 for _f, _expr in {"abs": "abs(v)", "ceil": "ceil(v)", "floor": "floor(v)", "exp": "exp(v / 100)", "ln": "ln(v)", "log2": "log2(v)", "log10": "log10(v)", "sqrt": "sqrt(v)", "sgn": "CAST(sign(v) AS DOUBLE)", "sin": "sin(v)", "cos": "cos(v)", "atan": "atan(v)", "tanh": "1 - 2 / (exp(2 * v / 100) + 1)", "deg": "degrees(v)", "rad": "radians(v)"}.items():
     add(f"promql_{_f}", _AVG + f" SELECT metric, labels, t AS ts_ms, round({_expr}, 6) AS value FROM w", lambda s, d, f=_f: shown(P.map_values(V.with_scalar(avg(s, d), "/", 100.0) if f in ("exp", "tanh") else avg(s, d), f)))
+for _f in ("tan", "asin", "acos", "sinh", "cosh", "asinh", "atanh"):
+    add(f"promql_{_f}", _AVG + f" SELECT metric, labels, t AS ts_ms, round({_f}(v / 1000), 6) AS value FROM w", lambda s, d, f=_f: shown(P.map_values(V.with_scalar(avg(s, d), "/", 1000.0), f)))
+add("promql_acosh", _AVG + " SELECT metric, labels, t AS ts_ms, round(CASE WHEN v >= 1 THEN acosh(v) END, 6) AS value FROM w", lambda s, d: shown(P.map_values(avg(s, d), "acosh")))
+add("promql_pi", _AVG + " SELECT metric, labels, t AS ts_ms, round(v * pi(), 4) AS value FROM w", lambda s, d: shown(V.with_scalar(avg(s, d), "*", math.pi)).withColumn("value", F.round("value", 4)))
+add("promql_scalar_with_scalar", _AVG + " SELECT metric, labels, t AS ts_ms, round(v + 2.5::DOUBLE * (7 % 4) - 1, 4) AS value FROM w", lambda s, d: shown(V.with_scalar(avg(s, d), "+", V.scalar_op("-", V.scalar_op("*", 2.5, V.scalar_op("%", 7.0, 4.0)), V.scalar_op(">", 3.0, 2.0, as_bool=True)))).withColumn("value", F.round("value", 4)))
+add("promql_points_between", _AVG + f" SELECT metric, labels, t AS ts_ms, round(v, 6) AS value FROM w WHERE t >= {T0 + 3 * DAY} AND t < {T0 + 5 * DAY} OR t = {T0 + 9 * DAY}", lambda s, d: shown(P.points_between(avg(s, d), T0 + 3 * DAY, T0 + 5 * DAY).unionByName(P.points_at(avg(s, d), T0 + 9 * DAY))))
 add("promql_round", _AVG + " SELECT metric, labels, t AS ts_ms, round_even(v, 0) AS value FROM w", lambda s, d: shown(P.map_values(avg(s, d), "round")))
 for _f, _args, _expr in (("clamp", (20.0, 60.0), "least(greatest(v, 20.0), 60.0)"), ("clamp_min", (20.0,), "greatest(v, 20.0)"), ("clamp_max", (60.0,), "least(v, 60.0)")):
     add(f"promql_{_f}", _AVG + f" SELECT metric, labels, t AS ts_ms, round(CASE WHEN v IS NULL THEN NULL ELSE CAST({_expr} AS DOUBLE) END, 6) AS value FROM w", lambda s, d, f=_f, a=_args: shown(P.map_values(avg(s, d), f, *a)))
@@ -210,6 +224,11 @@ _G = M.MetricRequest("click", T0, T0 + 30 * DAY)
 for _agg, _expr in {"AVG": "avg(value)", "SUM": "sum(value)", "MIN": "min(value)", "MAX": "max(value)", "COUNT": "count(value)", "P50": "quantile_cont(value, 0.5)", "P75": "quantile_cont(value, 0.75)", "P90": "quantile_cont(value, 0.9)", "P95": "quantile_cont(value, 0.95)", "P99": "quantile_cont(value, 0.99)"}.items():
     for _res, _size in (("HOURLY", HOUR), *((("SECONDLY", 1000), ("MINUTELY", 60_000)) if _agg in ("AVG", "P95") else ())):
         add(f"gauge_{_agg.lower()}_{_res.lower()}", f"WITH {GAUGES} SELECT metric, labels AS tags, ts_ms - ts_ms % {_size} AS ts_ms, {_expr if _agg == 'COUNT' else f'round({_expr}, 6)'} AS value FROM gauges WHERE metric = 'click' AND ts_ms >= {_G.start} AND ts_ms < {_G.end} GROUP BY ALL", lambda s, d, a=_agg, r=_res: rounded(M.gauge(T.gauges(s, d), _G, r, a)))
+_many = {"all": _G, "week": Q.within(_G, T0 + 7 * DAY, T0 + 14 * DAY), "seven": M.MetricRequest("view", T0, T0 + 30 * DAY, {"user": "7"}), "none": M.MetricRequest("no such", T0, T0 + 30 * DAY)}
+_batch = " UNION ALL ".join(f"SELECT '{n}' AS request, metric, labels AS tags, ts_ms - ts_ms % {HOUR} AS ts_ms, round(avg(value), 6) AS value FROM gauges WHERE metric = '{r.metric}' AND ts_ms >= {r.start} AND ts_ms < {r.end}{''.join(f" AND usr = '{v}'" for v in r.tags.values())} GROUP BY ALL" for n, r in _many.items())
+add("gauge_batch", f"WITH {GAUGES} {_batch}", lambda s, d: rounded(M.gauges_of(T.gauges(s, d), _many, "HOURLY", "AVG")))
+add("gauge_within", f"WITH {GAUGES} SELECT metric, labels AS tags, ts_ms - ts_ms % {HOUR} AS ts_ms, round(sum(value), 6) AS value FROM gauges WHERE metric = 'click' AND ts_ms >= {T0 + 7 * DAY} AND ts_ms < {T0 + 14 * DAY} GROUP BY ALL", lambda s, d: rounded(M.gauge(T.gauges(s, d), Q.within(_G, T0 + 7 * DAY, T0 + 14 * DAY), "HOURLY", "SUM")))
+add("sum_tag_subset", f"WITH {SUMS} SELECT labels, ts_start, CAST(value AS BIGINT) AS value FROM sums WHERE status = 'F'", lambda s, d: T.sums(s, d).where(S.has_tags(F.col("labels"), {"status": "F"})).select(S.label_text("labels").alias("labels"), "ts_start", "value"))
 _one = M.MetricRequest("orders", O0, O0 + 2520 * DAY, {"status": "F", "priority": "1-URGENT"})
 _own = f"metric = 'orders' AND status = 'F' AND priority = '1-URGENT' AND ts_start < {_one.end} AND ts_end > {_one.start}"
 add("sum_delta_aggregate", f"WITH {SUMS} SELECT min(ts_start) AS ts_start, max(ts_end) AS ts_end, CAST(sum(value) AS BIGINT) AS value FROM sums WHERE {_own} HAVING count(*) > 0", lambda s, d: M.sum_delta_aggregate(T.sums(s, d), _one))
@@ -226,6 +245,18 @@ _hq = f"""{HISTOS}, {_grid(ORDERS)}, m AS (SELECT labels, t, {', '.join(f'sum(c{
 q AS (SELECT *, c0 + c1 + c2 + c3 + c4 + c5 AS n, 0.7::DOUBLE * (c0 + c1 + c2 + c3 + c4 + c5) AS r FROM m)"""
 _hcase = "CASE WHEN n = 0 THEN NULL WHEN c0 >= r THEN 10000.0::DOUBLE " + " ".join(f"WHEN {'+'.join(f'c{j}' for j in range(i + 1))} >= r THEN CASE WHEN c{i} = 0 THEN {i + 1}0000.0::DOUBLE ELSE {i}0000 + 10000.0::DOUBLE * (r - ({'+'.join(f'c{j}' for j in range(i))})) / c{i} END" for i in range(1, 5)) + " ELSE 50000.0::DOUBLE END"
 add("promql_histogram_quantile", f"WITH {_hq} SELECT 'price' AS metric, labels, t AS ts_ms, round({_hcase}, 6) AS value FROM q", lambda s, d: shown(H.histogram_quantile(0.7, T.histograms(s, d), ORDERS, 60 * DAY)))
+def layouts(s: SparkSession, d: str) -> DataFrame:
+    """The histograms, and twice their counts in buckets twice as wide."""
+    fine = T.histograms(s, d)
+    c = F.col("counts")
+    wide = F.array(*[(2 * (c[i] + c[i + 1])).cast("int") for i in (0, 2, 4)])
+    return fine.unionByName(fine.withColumn("counts", wide).withColumn("bounds", F.array(F.lit(20_000.0), F.lit(40_000.0))))
+
+
+_mixed = "CAST(sum(c0) AS BIGINT) AS c0, CAST(sum(c1 + 2 * (c0 + c1)) AS BIGINT) AS c1, CAST(sum(c2 + c2 + c3) AS BIGINT) AS c2, CAST(sum(c3 + c2 + c3) AS BIGINT) AS c3, CAST(sum(c4) AS BIGINT) AS c4, CAST(sum(c5 + 2 * (c4 + c5)) AS BIGINT) AS c5"
+add("histogram_merged_unequal", f"WITH {HISTOS}, h AS (SELECT labels AS tags, {_mixed} FROM histos GROUP BY ALL) {_unpivot.format(k='tags')}", lambda s, d: _cells(M.histogram(layouts(s, d), _hr, "MERGED"), "tags"))
+add("promql_histogram_fraction", f"WITH {HISTOS} SELECT labels, ts_start, round((c1 * 0.5::DOUBLE + c2 + c3 + c4 * 0.2::DOUBLE) / nullif(c0 + c1 + c2 + c3 + c4 + c5, 0), 6) AS value FROM histos", lambda s, d: rounded(T.histograms(s, d).select(S.label_text("labels").alias("labels"), "ts_start", H.fraction(15_000.0, 42_000.0, F.col("bounds"), F.col("counts")).alias("value"))))
+add("histogram_bounded_sum", f"WITH {HISTOS} SELECT labels, ts_start, CAST(c0 + 2 * c1 + 3 * c2 + 4 * c3 + 5 * c4 AS DOUBLE) * 10000 AS value FROM histos", lambda s, d: H.counts_of(T.histograms(s, d)).select(S.label_text("labels").alias("labels"), "ts_start", F.col("bounded_sum").alias("value")))
 add("histogram_counts", f"WITH {HISTOS} SELECT labels, ts_start, CAST(c0+c1+c2+c3+c4+c5 AS BIGINT) AS n FROM histos", lambda s, d: H.counts_of(T.histograms(s, d)).select(S.label_text("labels").alias("labels"), "ts_start", F.col("count").alias("n")))
 
 # -- catalogue ---------------------------------------------------------------------------------------------------------
@@ -267,6 +298,11 @@ add("span_distribution", f"WITH {SPANS}, p AS (SELECT 'db_system' AS attribute,
 add("span_attribute_types", f"WITH {SPANS} SELECT a AS attribute, t AS type FROM (VALUES ('flag', 'string'), ('line', 'string'), ('price', 'number'), ('tax', 'number')) x(a, t) WHERE EXISTS (SELECT 1 FROM spans)", lambda s, d: X.attribute_types(T.spans(s, d)))
 add("span_attribute_hints", "SELECT a AS attribute, t AS type, c AS custom FROM (VALUES " + ", ".join(f"('{k}', '{v}', false)" for k, v in X.DEFAULT_ATTRIBUTES.items()) + ", ('flag', 'string', true), ('line', 'string', true), ('price', 'number', true), ('tax', 'number', true)) x(a, t, c) WHERE (SELECT count(*) FROM lineitem) > 0", lambda s, d: X.attribute_hints(T.spans(s, d), 0, 1 << 62))
 add("span_value_hints", f"WITH {SPANS} SELECT DISTINCT name AS attr_value FROM spans WHERE name IS NOT NULL ORDER BY 1 LIMIT 100", lambda s, d: X.value_hints(T.spans(s, d), "name", 0, 1 << 62))
+add("span_filter_without_values", f"WITH {SPANS} SELECT count(*) AS n FROM spans WHERE service = 'svc-3' AND flag = 'R'", lambda s, d: X.count(T.spans(s, d), X.SpanFilter({"service": "svc-3", "peer": None, "kind": "*"}, http_status=0, strings={"flag": "R", "line": None}, numbers={"tax": None})))
+add("span_page_filter", f"WITH {SPANS} SELECT trace_id, span_id, start_ns FROM spans WHERE (service = 'svc-3' AND trace_id <> '7') OR span_id = '7-1'", lambda s, d: T.spans(s, d).where(L.condition({"kind": "OR", "children": [{"kind": "AND", "children": [{"kind": "SERVICE", "value": "svc-3"}, {"kind": "NOT", "children": [{"kind": "TRACE", "value": "7"}]}]}, {"kind": "SPAN", "value": "7-1"}]})).select("trace_id", "span_id", "start_ns"))
+_stats = lambda s, d, n: X.stats(T.spans(s, d), _svc, [" price ", "", "flag", "flag"], {"price": "number", "flag": "string"}, "COUNT", "HOURLY")[n]
+add("span_stats_numeric", f"WITH {SPANS} SELECT CAST(start_ns // 1000000 - (start_ns // 1000000) % {HOUR} AS BIGINT) AS ts_ms, count(price) AS value FROM spans WHERE service = 'svc-3' GROUP BY 1", lambda s, d: _stats(s, d, "price"))
+add("span_stats_text", f"WITH {SPANS} SELECT 'flag' AS attribute, flag AS attr_value, count(*) AS n FROM spans WHERE service = 'svc-3' GROUP BY ALL", lambda s, d: _stats(s, d, "flag"))
 _TREE = f"{SPANS}, one AS (SELECT trace_id, span_id, first(parent_id) AS parent_id, min(start_ns) AS s, max(end_ns) AS e FROM spans GROUP BY ALL), tree AS (SELECT o.trace_id, o.span_id, p.span_id AS parent_id, greatest(0, o.e - o.s) AS duration_ns, o.s - min(o.s) OVER (PARTITION BY o.trace_id) AS offset_ns FROM one o LEFT JOIN one p ON p.trace_id = o.trace_id AND p.span_id = o.parent_id)"
 add("flame_graph", f"WITH {_TREE} SELECT * FROM tree", lambda s, d: X.trace_tree(T.spans(s, d)).select("trace_id", "span_id", "parent_id", "duration_ns", "offset_ns"))
 add("flame_graph_depth", f"WITH RECURSIVE {_TREE}, down AS (SELECT trace_id, span_id, span_id AS root_id, 0 AS depth FROM tree WHERE parent_id IS NULL UNION ALL SELECT t.trace_id, t.span_id, d.root_id, d.depth + 1 FROM tree t JOIN down d ON d.trace_id = t.trace_id AND d.span_id = t.parent_id) SELECT * FROM down", lambda s, d: X.with_depth(X.trace_tree(T.spans(s, d))).select("trace_id", "span_id", "root_id", "depth"))
@@ -327,3 +363,49 @@ add("ingest_dialect", f"WITH {SUMS} SELECT 'api_orders' AS metric, count(*) AS n
 add("ingest_excluded_tags", f"WITH {SUMS} SELECT 'status=' || status AS labels, count(*) AS n FROM sums GROUP BY ALL", lambda s, d: T.sums(s, d).select(S.label_text(S.without_excluded(F.col("labels"), ["none"], ["prio"])).alias("labels")).groupBy("labels").agg(F.count("*").alias("n")))
 add("ingest_valid_gauges", f"WITH {GAUGES} SELECT metric, count(*) AS n FROM gauges WHERE metric <> '' AND value IS NOT NULL AND ts_ms IS NOT NULL GROUP BY metric", lambda s, d: T.valid_gauges(T.gauges(s, d)).groupBy("metric").agg(F.count("*").alias("n")))
 add("series_catalogue", _CAT + " SELECT event_type, metric, labels, a AS ts_start, b AS ts_end FROM cat", lambda s, d: T.catalogue(s, d).select("event_type", "metric", S.label_text("labels").alias("labels"), "ts_start", "ts_end"))
+add("otlp_gauges", f"WITH {GAUGES} SELECT metric, labels, ts_ms, round(coalesce(value, 0), 6) AS value FROM gauges", lambda s, d: shown(O.gauges(O.parse(O.gauge_requests(T.gauges(s, d)), O.METRICS))))
+add("otlp_sums", f"WITH {SUMS} SELECT metric, labels, ts_start, ts_end, CAST(value AS BIGINT) AS value, 'DELTA' AS temporality FROM sums", lambda s, d: O.sums(O.parse(O.sum_requests(T.sums(s, d)), O.METRICS)).withColumn("labels", S.label_text("labels")))
+add("otlp_histograms", f"WITH {HISTOS}, h AS (SELECT *, labels AS tags FROM histos) {_unpivot.format(k='tags, ts_start')}", lambda s, d: _cells(O.histograms(O.parse(O.histogram_requests(T.histograms(s, d)), O.METRICS)).withColumn("tags", S.label_text("labels")), "tags", "ts_start"))
+
+
+def exports(s: SparkSession, d: str) -> DataFrame:
+    """The gauges as export requests in JSON, one a sample, read back."""
+    point = F.struct(F.array("ts_ms").alias("ts"), F.array(F.col("value").cast("float")).alias("value"))
+    lines = T.gauges(s, d).select(F.to_json(F.struct(F.col("metric").alias("metricName"), F.col("labels").alias("tags"), F.lit("GAUGE").alias("type"), point.alias("gauge"))).alias("value"))
+    return lines.select(F.from_json("value", T.EXPORT_SCHEMA).alias("r")).select("r.*")
+
+
+add("export_gauges", f"WITH {GAUGES} SELECT metric, labels, ts_ms, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 4) AS value FROM gauges", lambda s, d: shown(T.export_gauges(exports(s, d))).withColumn("value", F.round("value", 4)))
+
+
+def payloads(s: SparkSession, d: str, kind: str) -> DataFrame:
+    """The gauges as answers of other systems, one a sample."""
+    named = F.map_concat("labels", F.create_map(F.lit("__name__"), F.col("metric")))
+    vector = F.struct(named.alias("metric"), F.array((F.col("ts_ms") / 1000).cast("string"), F.col("value").cast("string")).alias("value"))
+    points = F.struct("metric", F.transform(F.map_entries("labels"), lambda e: F.concat(e["key"], F.lit(":"), e["value"])).alias("tag_set"), F.array(F.array(F.col("ts_ms").cast("double"), "value")).alias("pointlist"))
+    body = F.struct(F.struct(F.lit("vector").alias("resultType"), F.array(vector).alias("result")).alias("data")) if kind == "matrix" else F.struct(F.array(points).alias("series"))
+    return T.gauges(s, d).select(F.to_json(body).alias("payload"))
+
+
+for _kind, _read in (("matrix", Q.matrix_payload), ("points", Q.point_list_payload)):
+    add(f"payload_{_kind}", f"WITH {GAUGES} SELECT metric, labels, ts_ms, round(value, 6) AS value FROM gauges WHERE value IS NOT NULL", lambda s, d, k=_kind, r=_read: shown(r(payloads(s, d, k)).where("value is not null")))
+add("log_from_otlp", f"WITH {LOGS} SELECT ts_ms, lower(hex(trace_id)) AS trace_id, level, service, sha256(concat_ws('|', CAST(ts_ms * 1000000 AS VARCHAR), lower(hex(trace_id)), CAST(level AS VARCHAR), body)) AS doc_id FROM logs WHERE body IS NOT NULL", lambda s, d: L.from_otlp(T.logs(s, d).select((F.col("ts_ms") * 1_000_000).alias("time_unix_nano"), F.encode("trace_id", "UTF-8").alias("trace_id"), F.col("level").alias("severity_number"), "body", "service")).select(*_log))
+
+# -- sketches ----------------------------------------------------------------------------------------------------------
+
+
+def sketch_checked(s: SparkSession, d: str) -> DataFrame:
+    """By metric and day: the number of samples, and whether the sketch's 90th percentile has its rank to within 2 percent."""
+    samples = T.gauges(s, d).withColumn("labels", F.create_map().cast("map<string,string>"))
+    days = U.merge(U.rollup(samples, "h"), DAY, "d")
+    found = U.read(days, "P90").select("series_key", "ts_ms", F.col("value").alias("q"))
+    rows = P.keyed(samples).select("series_key", (F.col("ts_ms") - F.col("ts_ms") % DAY).alias("ts_ms"), "value").join(found, ["series_key", "ts_ms"])
+    n = F.count("value")
+    by = rows.groupBy("series_key", "ts_ms").agg(n.alias("n"), (F.count_if(F.col("value") < F.col("q")) / n).alias("low"), (F.count_if(F.col("value") <= F.col("q")) / n).alias("high"))
+    slack = 0.02 + 1 / F.col("n")
+    return by.select("series_key", "ts_ms", "n", ((F.col("low") <= 0.9 + slack) & (F.col("high") >= 0.9 - slack)).alias("in_bounds"))
+
+
+add("rollup_sketch_rank", f"WITH {GAUGES} SELECT metric || '{{}}' AS series_key, ts_ms - ts_ms % {DAY} AS ts_ms, count(value) AS n, true AS in_bounds FROM gauges GROUP BY ALL", sketch_checked)
+for _agg, _expr in (("AVG", "avg(value)"), ("MAX", "max(value)"), ("COUNT", "CAST(count(value) AS DOUBLE)")):
+    add(f"rollup_read_{_agg.lower()}", f"WITH {GAUGES} SELECT metric || '{{' || labels || '}}' AS series_key, 'h' AS resolution, ts_ms - ts_ms % {HOUR} AS ts_ms, round({_expr}, 6) AS value FROM gauges GROUP BY ALL", lambda s, d, a=_agg: rounded(U.read(U.rollup(T.gauges(s, d), "h"), a)))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.requests import first_present
+from ..functions.timegrid import ns_to_ms
 
 _VALUE = "struct<stringValue: string, intValue: string, doubleValue: double, boolValue: boolean, arrayValue: string, kvlistValue: string>"
 _ATTRIBUTES = f"array<struct<key: string, value: {_VALUE}>>"
@@ -62,6 +63,44 @@ def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def parse(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
+    """Requests from a column of JSON texts, such as a stream's; a text that is no request gives a row of nulls."""
+    return lines.select(F.from_json(column, schema).alias("r")).select("r.*")
+
+
+def _attributes(labels: Column | str) -> Column:
+    return F.transform(F.map_entries(labels), lambda e: F.struct(e["key"].alias("key"), F.struct(e["value"].alias("stringValue")).alias("value")))
+
+
+def _nanos(ms: str) -> Column:
+    return (F.col(ms) * 1_000_000).cast("string")
+
+
+def _request(metric: Column) -> Column:
+    scopes = F.array(F.struct(F.array(metric).alias("metrics")))
+    return F.to_json(F.struct(F.array(F.struct(scopes.alias("scopeMetrics"))).alias("resourceMetrics"))).alias("value")
+
+
+def gauge_requests(samples: DataFrame) -> DataFrame:
+    """Gauges as export requests, a JSON text (value) for each sample."""
+    point = F.struct(_attributes("labels").alias("attributes"), _nanos("ts_ms").alias("timeUnixNano"), F.col("value").alias("asDouble"))
+    return samples.select(_request(F.struct(F.col("metric").alias("name"), F.struct(F.array(point).alias("dataPoints")).alias("gauge"))))
+
+
+def sum_requests(points: DataFrame) -> DataFrame:
+    """Sums as export requests, a JSON text (value) for each point."""
+    point = F.struct(_attributes("labels").alias("attributes"), _nanos("ts_start").alias("startTimeUnixNano"), _nanos("ts_end").alias("timeUnixNano"), F.col("value").cast("string").alias("asInt"))
+    kind = F.when(F.col("temporality") == "CUMULATIVE", "2").otherwise("1").alias("aggregationTemporality")
+    return points.select(_request(F.struct(F.col("metric").alias("name"), F.struct(kind, F.array(point).alias("dataPoints")).alias("sum"))))
+
+
+def histogram_requests(points: DataFrame) -> DataFrame:
+    """Histograms as export requests, a JSON text (value) for each point."""
+    point = F.struct(_attributes("labels").alias("attributes"), _nanos("ts_start").alias("startTimeUnixNano"), _nanos("ts_end").alias("timeUnixNano"), F.col("bounds").alias("explicitBounds"), F.col("counts").cast("array<string>").alias("bucketCounts"))
+    kind = F.when(F.col("temporality") == "CUMULATIVE", "2").otherwise("1").alias("aggregationTemporality")
+    return points.select(_request(F.struct(F.col("metric").alias("name"), F.struct(kind, F.array(point).alias("dataPoints")).alias("histogram"))))
+
+
 def _firsts(attributes: Column) -> Column:
     keys = F.transform(attributes, lambda a: a["key"])
     return F.filter(attributes, lambda a, i: F.array_position(keys, a["key"]) == i + 1)
@@ -79,7 +118,7 @@ def tags(attributes: Column) -> Column:
 
 
 def _ms(nanos: Column) -> Column:
-    return F.floor(nanos.cast("long") / 1_000_000)
+    return ns_to_ms(nanos.cast("long"))
 
 
 def _points(requests: DataFrame, kind: str) -> DataFrame:

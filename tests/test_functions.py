@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import requests as Q
 from pulsegrid.functions import series as S
-from pulsegrid.functions.timegrid import Grid, duration_ms, instant_ms, resolution_for
+from pulsegrid.functions.timegrid import Grid, duration_ms, instant_ms, ns_to_ms, resolution_for
 from pulsegrid.operators.vectors import scalar_op
 from pulsegrid.sources import tables as T
 
@@ -87,3 +87,9 @@ def test_writing_prunes_months(spark, small, tmp_path):
     assert "PartitionFilters: [isnotnull(month" in back._jdf.queryExecution().toString()
     T.write_spans(T.spans(spark, small), str(tmp_path / "spans"))
     assert spark.read.parquet(str(tmp_path / "spans")).count() == T.spans(spark, small).count()
+
+
+def test_nanoseconds_are_whole_numbers(spark):
+    ns = [1706554792970 * 1_000_000, 1706554792970 * 1_000_000 + 999_999, 1706554792970 * 1_000_000 - 1, -1, 0]
+    rows = spark.createDataFrame([(n,) for n in ns], "ns long").select(ns_to_ms(F.col("ns")).alias("ms")).collect()
+    assert [r["ms"] for r in rows] == [n // 1_000_000 for n in ns]

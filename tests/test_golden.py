@@ -224,3 +224,30 @@ def test_combined_windows_equal_plain_ones(spark, monkeypatch):
             monkeypatch.setattr(P, "WIDE", wide)
             out.append({(r["series_key"], r["ts_ms"]): round(r["value"], 9) for r in P.over_time(samples, grid, 1000, f).collect() if not math.isnan(r["value"])})
         assert out[0] == out[1] and out[0]
+
+
+def test_fraction_of_a_histogram(spark):
+    h = spark.createDataFrame([([10.0, 20.0, 40.0], [2, 4, 8, 6])], "bounds array<double>, counts array<int>")
+    get = lambda low, high: h.select(H.fraction(low, high, F.col("bounds"), F.col("counts")).alias("x")).first()["x"]
+    assert get(0.0, 10.0) == pytest.approx(2 / 20)
+    assert get(15.0, 30.0) == pytest.approx((2 + 4) / 20)
+    assert get(0.0, 1e9) == pytest.approx(14 / 20)
+    empty = spark.createDataFrame([([1.0], [0, 0])], "bounds array<double>, counts array<int>")
+    assert math.isnan(empty.select(H.fraction(0.0, 1.0, F.col("bounds"), F.col("counts")).alias("x")).first()["x"])
+
+
+def test_predict_linear_and_absence(spark):
+    rows = [("m", {"a": "1"}, TS[0], 1.0), ("m", {"a": "1"}, TS[1], 3.0), ("m", {"a": "1"}, TS[2], 5.0)]
+    s = spark.createDataFrame(rows, SCHEMA)
+    out = {r["ts_ms"]: r["value"] for r in P.over_time(s, GRID, 2 * STEP, "predict_linear", 60.0).collect()}
+    assert out[TS[1]] == pytest.approx(5.0) and out[TS[2]] == pytest.approx(7.0)
+    assert math.isnan(out[TS[3]])  # one sample has no slope
+    late = Grid(TS[3], TS[3] + 3 * STEP, STEP)
+    assert sorted(r["ts_ms"] for r in P.absent_over_time(s, late, 2 * STEP).collect()) == [TS[3] + STEP, TS[3] + 2 * STEP, TS[3] + 3 * STEP]
+
+
+def test_many_gauge_requests_in_one_scan(spark):
+    s = spark.createDataFrame([("m", {"a": "1"}, T0, 1.0), ("m", {"a": "1"}, T0, 3.0), ("m", {"a": "2"}, T0, 5.0)], SCHEMA)
+    r = M.MetricRequest("m", T0, T0 + 1)
+    rows = M.gauges_of(s, {"all": r, "one": M.MetricRequest("m", T0, T0 + 1, {"a": "1"}), "none": M.MetricRequest("x", T0, T0 + 1)}, "SECONDLY", "AVG").collect()
+    assert sorted((x["request"], x["tags"], x["value"]) for x in rows) == [("all", "a=1", 2.0), ("all", "a=2", 5.0), ("one", "a=1", 2.0)]
