@@ -251,3 +251,10 @@ def test_many_gauge_requests_in_one_scan(spark):
     r = M.MetricRequest("m", T0, T0 + 1)
     rows = M.gauges_of(s, {"all": r, "one": M.MetricRequest("m", T0, T0 + 1, {"a": "1"}), "none": M.MetricRequest("x", T0, T0 + 1)}, "SECONDLY", "AVG").collect()
     assert sorted((x["request"], x["tags"], x["value"]) for x in rows) == [("all", "a=1", 2.0), ("all", "a=2", 5.0), ("one", "a=1", 2.0)]
+
+
+@pytest.mark.parametrize("function, eight", [("ln", math.log(8)), ("log2", 3.0), ("log10", math.log10(8))])
+def test_logarithms_at_the_edge_of_their_domain(spark, function, eight):
+    v = spark.createDataFrame([("m", {}, i, x) for i, x in enumerate([8.0, 0.0, -0.0, -1.0, math.nan])], SCHEMA)
+    got = [r["value"] for r in P.map_values(v, function).orderBy("ts_ms").collect()]
+    assert got[0] == pytest.approx(eight) and got[1:3] == [-math.inf, -math.inf] and all(map(math.isnan, got[3:]))
