@@ -258,3 +258,10 @@ def test_logarithms_at_the_edge_of_their_domain(spark, function, eight):
     v = spark.createDataFrame([("m", {}, i, x) for i, x in enumerate([8.0, 0.0, -0.0, -1.0, math.nan])], SCHEMA)
     got = [r["value"] for r in P.map_values(v, function).orderBy("ts_ms").collect()]
     assert got[0] == pytest.approx(eight) and got[1:3] == [-math.inf, -math.inf] and all(map(math.isnan, got[3:]))
+
+
+def test_depth_does_not_compute_offsets_and_parents_again(spark):
+    s = spark.createDataFrame([("t", "root", None, 1000, 3000), ("t", "child", "root", 1100, 2000)], "trace_id string, span_id string, parent_id string, start_ns long, end_ns long")
+    plan = lambda *c: X.trace_tree(s).select(*c)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan("trace_id", "span_id").count("Join") == 0 and plan("trace_id", "span_id", "parent_id", "is_root").count("Join") == 1
+    assert plan("offset_ns", "is_root").count("Join") == 2
