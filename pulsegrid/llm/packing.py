@@ -169,17 +169,19 @@ def combinations(units: int, depth: int, present: list[int]) -> list[tuple[int,
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
-    """x >= 0 with the least |a x - b|, by the active-set method."""
+    """x >= 0 with the least |a x - b|, by the active-set method. Of the product of all columns with each other only that of
+    the active ones is made: all have the square of the combinations' number, a quarter of a gigabyte."""
     x, active = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
-    gram, right = a.T @ a, a.T @ b
+    right = a.T @ b
     for _ in range(rounds):
-        slope = np.where(active, -np.inf, right - gram @ x)
+        slope = np.where(active, -np.inf, right - a.T @ (a @ x))
         if not len(slope) or slope.max() <= 1e-7 * max(1.0, abs(right).max()):
             break
         active[slope.argmax()] = True
         while True:
             at = np.flatnonzero(active)
-            z = np.linalg.lstsq(gram[np.ix_(at, at)], right[at], rcond=None)[0]
+            own = a[:, at]
+            z = np.linalg.lstsq(own.T @ own, right[at], rcond=None)[0]
             if (z > 1e-12).all():
                 x[:] = 0
                 x[at] = z

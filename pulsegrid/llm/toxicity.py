@@ -237,6 +237,8 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     if sizes.get(0) and sizes.get(1) and toxic.any() and not toxic.all():
         # the sample holds more toxic texts than the labels do
         model.b += float(np.log(sizes[1] / sizes[0]) - np.log(toxic.sum() / (~toxic).sum()))
+    del some
+    C.give_back()  # the driver goes on to other things
     return model
 
 

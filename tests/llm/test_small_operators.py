@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -275,3 +276,15 @@ def test_line_search_recall():
         some = [t[: rng.randrange(least, most)].strip() for t in rng.sample([t for t in real if len(t) >= least], 30)]
         assert recall(rng, [t for t in some if len(t) >= 8], shares) >= 0.9
     assert recall(rng, [t[:300] for t in real if len(t) > 300][:40], [0.01, 0.05, 0.1]) >= 0.95
+
+
+def test_a_plan_over_all_lengths_takes_little_memory():
+    histogram = {n: 50 + 37 * n % 101 for n in range(1, 257)}
+    tracemalloc.start()
+    try:
+        chosen = packing.plan(histogram, 256)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 64e6 and all(sum(way) == 256 for way, _ in chosen)
+    assert sum(times * len(way) for way, times in chosen) > 0.9 * sum(histogram.values())
