@@ -244,6 +244,21 @@ def test_many_pairs_at_once_equal_single_ones():
     assert (lines.in_reach(said, u, v) >= np.array(want)).all()
 
 
+def test_linked_lines_are_not_verified_again(monkeypatch):
+    """Groups of near copies are connected by few verified pairs; the groups are those of all pairs."""
+    rng, said, seen = random.Random(7), [], []
+    for _ in range(3):
+        t = [rng.choice("abcdefghij ") for _ in range(120)]
+        said += ["".join(rng.choice("xyz") if rng.random() < 0.05 else c for c in t) for _ in range(40)]
+    real = lines.alike
+    monkeypatch.setattr(lines, "alike", lambda ls, u, v: seen.extend(u.tolist()) or real(ls, u, v))
+    u, v = np.triu_indices(40, 1)
+    u, v = (np.concatenate([x + 40 * k for k in range(3)]) for x in (u, v))
+    out = lines.links(said, u, v)
+    assert len(out) == 3 * 39 and all(x // 40 == y // 40 for x, y in out)
+    assert len(seen) < len(u) / 4
+
+
 def recall(rng, said, shares):
     """The share of edited pairs of lines that get to verification, among those that are alike."""
     hit = n = 0
