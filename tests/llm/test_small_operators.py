@@ -259,6 +259,26 @@ def test_linked_lines_are_not_verified_again(monkeypatch):
     assert len(seen) < len(u) / 4
 
 
+def test_buckets_keep_only_members_in_reach():
+    """Members that no chain of pairs in reach connects part; no pair in reach is lost, at any number of members."""
+    rng = np.random.default_rng(4)
+    for n in (2, 3, 40, 600):
+        lengths, keys = rng.integers(130, 400, n), np.zeros(n, np.int64)
+        ats, sizes = (rng.random(n) * lengths).astype(np.int64), (np.log(lengths) * lines._STEP).astype(np.int64)
+        order = np.lexsort((np.arange(n), sizes))
+        ids, lengths, ats, sizes = np.arange(n)[order], lengths[order], ats[order], sizes[order]
+        key, out, _, many, place, boss = lines.reachable(keys, ids, sizes, ats)
+        group = dict(zip(out.tolist(), key.tolist()))
+        assert len(group) == len(out) and set(np.bincount(np.unique(key, return_inverse=True)[1])) <= set(many.tolist())
+        for i in range(n):
+            for j in range(i):
+                if abs(lengths[i] - lengths[j]) <= (most := lines.edits_most(max(lengths[i], lengths[j]))) and abs(ats[i] - ats[j]) <= most:
+                    assert group[int(ids[i])] == group[int(ids[j])]
+    apart = lines.reachable(np.zeros(4, np.int64), np.arange(4), np.full(4, 110), np.array([0, 10, 180, 190]))
+    assert apart[3].tolist() == [2] * 4 and apart[5].tolist() == [0, 0, 2, 2] and len(set(apart[0].tolist())) == 2
+    assert not len(lines.reachable(np.zeros(2, np.int64), np.arange(2), np.full(2, 110), np.array([0, 200]))[0])
+
+
 def recall(rng, said, shares):
     """The share of edited pairs of lines that get to verification, among those that are alike."""
     hit = n = 0

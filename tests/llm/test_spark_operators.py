@@ -284,6 +284,21 @@ def test_lines_against_all_pairs(spark):
     assert len(pairs) > 180 and want <= stay and len(stay - want) <= 2
 
 
+def test_line_keys_travel_packed_and_in_rounds(spark, monkeypatch):
+    """A key takes less than 14 bytes on its way, and the parts are compared in rounds with the same links."""
+    rng = random.Random(28)
+    some = [sentence(rng, 30) for _ in range(400)]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(lines.normalised(t) for t in some)], "id long, said string").coalesce(1)
+    packed = lines.packed_keys(table, 1).selectExpr("sum(length(keys) + length(ids) + length(sizes) + length(places)) as n", "sum(length(ids)) / 8 as keys").first()
+    assert packed["n"] / packed["keys"] < 14
+    some += [changed(rng, t, 3) for t in some]
+    docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    monkeypatch.setattr(lines, "PART", 20)
+    monkeypatch.setattr(lines, "ROUND_PARTS", 1)
+    stay = lines.line_dedup(docs).where("size(removed_lines) = 0").select("doc_id").collect()
+    assert {r["doc_id"] for r in stay} == set(range(400))
+
+
 def test_lines_decide_whole_buckets(spark, monkeypatch):
     """Lines that share a passage fill large buckets; near ones among them are found wherever they are in it."""
     monkeypatch.setattr(lines, "BLOCK", 7, raising=False)
