@@ -4,7 +4,10 @@ import datetime
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from pulsegrid.functions.timegrid import Grid
+from pulsegrid.operators import metrics as M
 from pulsegrid.operators import samples as P
 from pulsegrid.plans.catalog import QUERIES
 
@@ -55,3 +58,13 @@ def test_exact_sums_of_windows(spark):
                 n = len([v for v in cases[r["metric"]] if v is not None]) if function == "avg_over_time" else 1
                 want = sums[r["metric"]] / n
                 assert r["value"] == want or math.isnan(r["value"]) and math.isnan(want), (r["metric"], function, r["value"])
+
+
+def test_a_search_finds_more_paths_than_a_listing_shows(spark):
+    n = M.PATHS_MOST + 500
+    user = F.col("id").cast("string")
+    catalogue = spark.range(n).select(F.lit("view").alias("metric"), F.create_map(F.lit("user"), user).alias("labels"), F.lit("GAUGE").alias("event_type"), F.lit(None).cast("string").alias("temporality"), F.lit(1).alias("ts_start"), F.lit(2).alias("ts_end"))
+    assert M.search(catalogue, 0, 10, any_pattern="view").count() == n
+    assert M.search(catalogue, 0, 10, any_value="view").count() == n
+    assert M.search(catalogue, 0, 10, name_pattern="v.*").count() == n
+    assert M.paths(catalogue, 0, 10).count() == M.PATHS_MOST
