@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.timegrid import Grid
 from pulsegrid.operators import metrics as M
+from pulsegrid.operators import rollup as U
 from pulsegrid.operators import samples as P
 from pulsegrid.plans.catalog import QUERIES
 
@@ -68,3 +69,13 @@ def test_a_search_finds_more_paths_than_a_listing_shows(spark):
     assert M.search(catalogue, 0, 10, any_value="view").count() == n
     assert M.search(catalogue, 0, 10, name_pattern="v.*").count() == n
     assert M.paths(catalogue, 0, 10).count() == M.PATHS_MOST
+
+
+def test_the_logarithm_of_an_hour_of_zeros(spark, tmp_path):
+    values = [0.0, -0.0, 1.0, -1.0]
+    got = {r["series_key"]: r["value"] for r in QUERIES["rollup_log"](spark, events(spark, tmp_path, values)).collect()}
+    # a negative number has none, shown as null
+    assert got == {"click{user=0}": -math.inf, "click{user=1}": -math.inf, "click{user=2}": 0.0, "click{user=3}": None}
+    series = spark.createDataFrame([("s", i, v) for i, v in enumerate([0.0, None, math.nan])], "series_key string, ts_ms long, value double")
+    logs = [r["value"] for r in U.transform(series, "LOG").orderBy("ts_ms").collect()]
+    assert logs[0] == -math.inf and math.isnan(logs[2])
