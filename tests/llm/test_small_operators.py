@@ -313,6 +313,43 @@ def test_line_search_recall():
     assert recall(rng, [t[:300] for t in real if len(t) > 300][:40], [0.01, 0.05, 0.1]) >= 0.95
 
 
+def test_a_common_passage_alone_makes_no_pair():
+    """Of lines that share a passage only those get to verification that are alike elsewhere, too; edits that lie together and
+    lines that are compared as a whole are no reason to leave a pair out."""
+    rng = random.Random(23)
+    said = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = said(60)
+    some = [f"{said(150)}x{passage}y{said(150)}" for _ in range(30)]
+    at = np.full(1, 170)
+    pairs = [(i, j) for j in range(30) for i in range(j)]
+    x, y = (np.array(k) for k in zip(*pairs))
+    assert len(lines.likely_pairs(some, x, y, np.repeat(at, len(x)), np.repeat(at, len(x)))) < len(pairs) / 20
+    t = some[0]
+    near = [t[:100] + said(50) + t[150:], t[:220] + said(60) + t[220:], t[:150] + t[200:], said(40) + t[40:320] + said(30)]
+    for u in near:
+        assert lines.edit_similarity(t, u) >= lines.THRESHOLD
+        place = u.index(t[205:217])
+        assert lines.likely_pairs([t, u], *(np.array([k]) for k in (0, 1, 205, place))).tolist() == [1]
+    short = f"{passage}{said(14)}"
+    u = short[:60] + said(14)
+    assert lines.edit_similarity(short, u) >= lines.THRESHOLD and len(lines.likely_pairs([short, u], *(np.array([k]) for k in (0, 1, 5, 5)))) == 1
+
+
+def test_letters_that_two_lines_share_at_a_place():
+    rng = random.Random(24)
+    code = np.array([0] * 8 + [rng.randrange(3) for _ in range(3000)] + [0] * 8, np.uint8)
+    code[1000:1100] = code[2000:2100]
+    x, y = (np.array([rng.randrange(108, 2900) for _ in range(500)] + [k]) for k in (1040, 2040))
+    room = np.array([rng.choice([0, 1, 7, 8, 9, 100]) for _ in range(500)] + [100])
+    for step in (1, -1):
+        got = lines._matched(code, x, y, room, step)
+        for a, b, n, m in zip(x, y, room, got):
+            want = 0
+            while want < n and code[a + step * want - (step < 0)] == code[b + step * want - (step < 0)]:
+                want += 1
+            assert m == want
+
+
 def test_a_plan_over_all_lengths_takes_little_memory():
     histogram = {n: 50 + 37 * n % 101 for n in range(1, 257)}
     tracemalloc.start()

@@ -4,13 +4,14 @@ import hashlib
 import random
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import chat, exact, fingerprints, langid, lines, nearcopies, packing, pieces, queries, substring, toxicity
+from pulsegrid.llm import chat, common, exact, fingerprints, langid, lines, nearcopies, packing, pieces, queries, substring, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row_at long, removed string, tie string"
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -299,6 +300,20 @@ def test_line_keys_travel_packed_and_in_rounds(spark, monkeypatch):
     assert {r["doc_id"] for r in stay} == set(range(400))
 
 
+def test_line_search_leaves_no_tables_behind(spark, monkeypatch):
+    """What the search writes for itself goes when its links are found: the lines, links and groups stay."""
+    where = Path(common.shared_dir(spark).removeprefix("file:"))
+    monkeypatch.setattr(lines, "PART", 20)
+    monkeypatch.setattr(lines, "ROUND_PARTS", 1)
+    rng, before = random.Random(29), {p.name for p in where.iterdir()}
+    some = [sentence(rng, 20) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(some + [changed(rng, t, 2) for t in some])), "doc_id long, text string")
+    assert lines.line_dedup(docs).where("size(removed_lines) = 0").count() == 60
+    columns = [set(spark.read.parquet(str(p)).columns) for p in where.iterdir() if p.name not in before and (p / "_SUCCESS").exists()]
+    assert {"doc_id", "line", "words", "said"} in columns and {"u", "v"} in columns
+    assert not [c for c in columns if "key" in c or "of_part" in c]
+
+
 def test_lines_decide_whole_buckets(spark, monkeypatch):
     """Lines that share a passage fill large buckets; near ones among them are found wherever they are in it."""
     monkeypatch.setattr(lines, "BLOCK", 7, raising=False)
